@@ -56,4 +56,5 @@ POSTS = f"""posts AS (
 
 
 def sql(body: str, *ctes: str) -> str:
-    return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
+    """``body`` behind its common parts; a body may go on with parts of its own."""
+    return "WITH " + ",\n".join(ctes) + "\n" + body
