@@ -15,7 +15,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     h = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(dlon / 2), 2
     )
-    return F.asin(F.least(F.sqrt(h), F.lit(1.0))) * (2 * EARTH_KM)
+    # Rounding may lift h over 1; a missing coordinate must stay missing.
+    return F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h))) * (2 * EARTH_KM)
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
