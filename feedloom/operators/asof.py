@@ -76,7 +76,7 @@ def within(
 ) -> DataFrame:
     """Left rows plus ``out``: the earliest right time in [at-before, at+after], or null."""
     hit = asof(
-        left, right, keys, at - before, right_at, [], ident, "_near", forward=True
+        left, right, keys, at - before, right_at, [], ident, "_first_in", forward=True
     )
-    near = F.col("_near._rt")
-    return hit.withColumn(out, F.when(near <= at + after, near)).drop("_near")
+    near = F.col("_first_in._rt")
+    return hit.withColumn(out, F.when(near <= at + after, near)).drop("_first_in")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ("text_columns", "source_jobs", "relate_jobs", "report_jobs", "entity_jobs", "rule_jobs")
+GROUPS = ("text_columns", "source_jobs", "relate_jobs", "report_jobs", "entity_jobs", "rule_jobs", "quality_jobs", "state_jobs")
 
 
 def load():

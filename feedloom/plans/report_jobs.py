@@ -232,6 +232,14 @@ def s24(spark, d):
     return spark.read.parquet(path).select(F.col("section").cast("string").alias("section"), "name", "n")
 
 
+@query("k01_total_order", sql("""
+SELECT message_id, row_number() OVER (ORDER BY ts_s // 3600, channel = 'signup', channel, message_id) AS seq FROM feed""", FEED))
+def k01(spark, d):
+    from ..operators.scan import row_index, scan
+    f = feed(spark, d).select("message_id", "channel", F.floor(F.col("ts_s") / 3600).alias("slot"), (F.col("channel") == "signup").cast("int").alias("last"))
+    return scan(f, [], ["slot", "last", "channel", "message_id"], seq=row_index()).select("message_id", "seq")
+
+
 # --- paging -------------------------------------------------------------------
 
 

@@ -349,6 +349,17 @@ def f06(spark, d):
     return a.unionByName(b).select("message_id", "channel")
 
 
+@query("f07_horizon", sql("SELECT message_id, channel FROM feed WHERE ts_s >= (SELECT max(ts_s) FROM feed) - 5 * 86400", FEED))
+def f07(spark, d):
+    """Only files written lately are read, then only rows of the last days."""
+    from ..session import fresh_path
+    from ..sources.logs import newer_files, newer_rows
+    path = fresh_path(spark, "kept")
+    feed(spark, d).select("message_id", "channel", "ts_s").write.parquet(path)
+    files = newer_files(spark.read.parquet(path), 2)
+    return newer_rows(files, "ts_s", 5).select("message_id", "channel")
+
+
 @query("f08_said_only_before_limit", sql("""
 SELECT message_id, ts_s FROM feed WHERE channel = 'error' AND value > 50 ORDER BY ts_s DESC, message_id DESC LIMIT 50""", FEED))
 def f08(spark, d):

@@ -52,3 +52,14 @@ def latest_state(df: DataFrame, key: str, at: str) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, *[c for c in rest if c != at])).alias("_s")).select(
         key, *[F.col(f"_s.{c}").alias(c) for c in rest])
+
+
+def newer_files(df: DataFrame, days: int) -> DataFrame:
+    """Rows of files written in the last ``days``; whole files are skipped at the scan."""
+    return df.filter(F.col("_metadata.file_modification_time") >= F.current_timestamp() - F.make_dt_interval(F.lit(days)))
+
+
+def newer_rows(df: DataFrame, at: str, days: int) -> DataFrame:
+    """Rows of the last ``days`` before the newest one."""
+    top = df.agg(F.max(at).alias("_top"))
+    return df.join(F.broadcast(top), F.col(at) >= F.col("_top") - days * 86400).drop("_top")
