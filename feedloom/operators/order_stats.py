@@ -11,11 +11,10 @@ from .scan import Running, scan
 
 
 def picks(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None,
-          **ranks: Column) -> DataFrame:
+          **ranks: str) -> DataFrame:
     """One row per key: count ``n`` and the values standing at the given ranks.
 
-    A rank is a 0-based index expression over column ``n`` -- for the upper
-    median ``floor(n/2)``.  Rows are first counted per value (map-side), so the
+    A rank is a 0-based index, written in SQL over the count ``n``.  Rows are first counted per value (map-side), so the
     ordered part sees distinct values only, and those are scanned in pieces.
     """
     hist = (
@@ -33,14 +32,15 @@ def picks(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None
     return wide.groupBy(*keys).agg(
         F.max("n").alias("n"),
         *[
-            F.max(F.when((lo <= rank) & (rank < F.col("_cum")), F.col(value))).alias(name)
+            F.max(F.when((lo <= F.expr(rank)) & (F.expr(rank) < F.col("_cum")), F.col(value))).alias(name)
             for name, rank in ranks.items()
         ],
     )
 
 
-N = F.col("n")
-UPPER_MEDIAN = F.floor(N / 2)
-LOW_MIDDLE = F.floor((N - 1) / 2)
-P90 = F.floor(N * 0.9)
-P90_CLAMPED = F.least(F.floor(N * 0.9), N - 1)
+# Ranks as SQL over the count ``n``, 0-based.
+UPPER_MEDIAN = "floor(n / 2)"
+LOW_MIDDLE = "floor((n - 1) / 2)"
+P90 = "floor(n * 0.9D)"
+P90_CLAMPED = "least(floor(n * 0.9D), n - 1)"
+LARGEST = "n - 1"

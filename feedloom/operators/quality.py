@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams
-from ..session import settle
+from ..session import settle, width
 from .asof import within
 from .joins import EDGE_TOLERANCE_S
 from .scan import row_index, scan
@@ -231,7 +231,7 @@ def nb_crossval(rows: DataFrame, ident: str, text: str, label: str, fold: str) -
     share, so nothing is trained k times.  Unseen grams cost the same for all words of
     a class, so only the grams a class has are joined.
     """
-    rows = settle(rows)
+    rows = settle(rows.repartition(width(rows.sparkSession), ident))
     grams = settle(gram_counts(rows, [ident, label, fold], text))
     by_fold = settle(grams.groupBy("gram", label, fold).agg(F.sum("k").alias("c")))
     totals = by_fold.groupBy("gram", label).agg(F.sum("c").alias("all"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_capitalised, preview, stem_key, tokens
 from .joins import lead_table
-from .order_stats import LOW_MIDDLE, P90, P90_CLAMPED, UPPER_MEDIAN, picks
+from .order_stats import LARGEST, LOW_MIDDLE, P90, P90_CLAMPED, UPPER_MEDIAN, picks
 from .scan import last_before, row_index, scan
 
 
@@ -103,8 +103,8 @@ def resolved_share(ends: DataFrame, resolved: Column) -> DataFrame:
 def duplicate_stats(pairs: DataFrame) -> DataFrame:
     """Per pair of channels (first, second) and in total: pairs and their lag."""
     by = picks(pairs, ["first_channel", "second_channel"], "lag_s", weight=F.col("pairs"),
-               median_s=UPPER_MEDIAN, p90_s=P90, max_s=F.col("n") - 1)
-    total = picks(pairs, [], "lag_s", weight=F.col("pairs"), median_s=UPPER_MEDIAN, p90_s=P90, max_s=F.col("n") - 1)
+               median_s=UPPER_MEDIAN, p90_s=P90, max_s=LARGEST)
+    total = picks(pairs, [], "lag_s", weight=F.col("pairs"), median_s=UPPER_MEDIAN, p90_s=P90, max_s=LARGEST)
     return by.unionByName(total, allowMissingColumns=True)
 
 
@@ -131,7 +131,7 @@ def night_summary(m: DataFrame, night: Column, flags: dict[str, Column]) -> Data
 
 def lag_stats(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """True median, clamped p90 and worst."""
-    got = picks(rows, keys, value, _lo=LOW_MIDDLE, _hi=UPPER_MEDIAN, p90=P90_CLAMPED, worst=F.col("n") - 1)
+    got = picks(rows, keys, value, _lo=LOW_MIDDLE, _hi=UPPER_MEDIAN, p90=P90_CLAMPED, worst=LARGEST)
     return got.select(*keys, "n", ((F.col("_lo") + F.col("_hi")) / 2).alias("median"), "p90", "worst")
 
 

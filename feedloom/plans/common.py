@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clock
+from ..session import spread
 from .registry import table
 
 EPOCH0 = 1704067200  # 2024-01-01 00:00:00 UTC, the first day of the feed
@@ -41,7 +42,7 @@ FEED = """feed AS (
 
 def posts(spark: SparkSession, d: str) -> DataFrame:
     """documents as messages: channel, message_id, ts_s, text."""
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         F.col("source").alias("channel"),
         F.col("doc_id").alias("message_id"),
         (F.col("doc_id") + EPOCH0).alias("ts_s"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..operators import quality as q
+from ..session import spread
 from .common import EPOCH0, FEED, ZONE, feed, sql
 from .registry import query, table
 from .relate_jobs import NIGHTLY
@@ -228,7 +229,7 @@ def p24(spark, d):
 
 
 def labelled(spark, d):
-    return table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select(
+    return spread(table(spark, d, "documents")).join(table(spark, d, "labels"), "doc_id").select(
         "doc_id", "text", "n_chars", F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("label"))
 
 
@@ -288,7 +289,6 @@ def a22b(spark, d):
     return q.confusion(_crossval(spark, d))
 
 
-@F.pandas_udf("string")
 def by_length(n: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A classifier a user brings along."""
     for s in n:
@@ -298,4 +298,4 @@ def by_length(n: Iterator[pd.Series]) -> Iterator[pd.Series]:
 @query("x02_custom_classifier", sql(", pairs AS (SELECT label AS want, CASE WHEN n_chars < 700 THEN 'q0t0' ELSE 'q1t0' END AS got FROM rows)" + SQL_METRICS,
        "rows AS (SELECT n_chars, 'q' || quality || 't' || toxic AS label FROM labels JOIN documents USING (doc_id))"))
 def x02(spark, d):
-    return q.clf_metrics(labelled(spark, d).select(F.col("label").alias("want"), by_length("n_chars").alias("got")))
+    return q.clf_metrics(labelled(spark, d).select(F.col("label").alias("want"), F.pandas_udf(by_length, "string")("n_chars").alias("got")))

@@ -106,8 +106,6 @@ def j05(spark, d):
     return joins.alone(_leads(spark, d)).select("message_id", "who", "ts_s")
 
 
-STATED = F.when(F.col("channel").isin("error", "view"), F.col("channel"))
-SCOPED = F.when(F.col("n") % 3 == 0, (F.col("n") % 5).cast("string"))
 
 
 @query("j06_carry_context", sql("""
@@ -119,7 +117,8 @@ SELECT message_id, CASE WHEN ts_s - pc.at <= 900 THEN pc.v END AS inherited_clas
 """, FEED))
 def j06(spark, d):
     return joins.carry_context(
-        feed(spark, d), ["ts_s", "message_id"], STATED, SCOPED, F.col("channel") == "purchase").select(
+        feed(spark, d), ["ts_s", "message_id"], F.when(F.col("channel").isin("error", "view"), F.col("channel")),
+        F.when(F.col("n") % 3 == 0, (F.col("n") % 5).cast("string")), F.col("channel") == "purchase").select(
         "message_id", "inherited_class", "inherited_scope")
 
 

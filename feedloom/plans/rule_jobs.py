@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 from ..functions import lookups
 from ..operators import classify as cl
 from ..operators import entities as en
-from .common import posts, sql
+from ..session import spread
+from .common import sql
 from .demo_pack import FILLER, PACK, RULES, STRONG, TONES, rule_table
 from .entity_jobs import FAR, NEAR, PLACE, dictionary
 from .registry import query, table
 from .text_columns import sq_flatten, sq_squeeze
 
 KEY = ["doc_id", "line"]
-T = F.col("text")
 
 
 def lines(spark, d):
     """Every line of every document as a short message."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
 
 
 LINES = "lines AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS text FROM documents)"
@@ -143,7 +143,7 @@ CERTAIN = f"""CASE WHEN {hit('lost')} OR {TRACKED} THEN 'lost' WHEN {hit('resolv
 def _per_line(name, column, expr, ctes=TEXT, src="lines"):
     @query(name, sql(f"SELECT doc_id, line, {expr} AS out FROM {src}", *ctes))
     def run(spark, d):
-        return lines(spark, d).select("doc_id", "line", column(T).alias("out"))
+        return lines(spark, d).select("doc_id", "line", column(F.col("text")).alias("out"))
 
     return run
 
@@ -176,7 +176,7 @@ _per_line("c24_landed_word", lambda c: cl.landed_word(c, cl.hits(c, PACK, "impac
 
 
 def _shapes(df):
-    return df.withColumn("shapes", cl.live_shapes(T, F.col("mentions"), PACK, FILLER, SLACK))
+    return df.withColumn("shapes", cl.live_shapes(F.col("text"), F.col("mentions"), PACK, FILLER, SLACK))
 
 
 @query("c13_live_shapes", sql("SELECT doc_id, line, array_to_string(shapes, ',') AS shapes FROM sh", *FULL, SHAPES))
@@ -192,12 +192,12 @@ def c14(spark, d):
 @query("c16_modality", sql(f"SELECT doc_id, line, {sq_modality(hint('text'))} AS modality FROM sh", *FULL, SHAPES))
 def c16(spark, d):
     return _shapes(mentioned_lines(spark, d)).select(
-        "doc_id", "line", cl.modality(T, F.size("shapes") > 0, cl.class_hint(T, PACK), PACK).alias("modality"))
+        "doc_id", "line", cl.modality(F.col("text"), F.size("shapes") > 0, cl.class_hint(F.col("text"), PACK), PACK).alias("modality"))
 
 
 @query("c17_certainty", sql(f"SELECT doc_id, line, {CERTAIN} AS certainty FROM sh", *FULL, SHAPES))
 def c17(spark, d):
-    return mentioned_lines(spark, d).select("doc_id", "line", cl.certainty(T, F.size("mentions") > 0, PACK).alias("certainty"))
+    return mentioned_lines(spark, d).select("doc_id", "line", cl.certainty(F.col("text"), F.size("mentions") > 0, PACK).alias("certainty"))
 
 
 @query("c19_buried_headline", sql(f"""
@@ -205,13 +205,13 @@ def c17(spark, d):
 h AS (SELECT doc_id, n, list_filter(ls, lambda x: trim(x) <> '')[1] AS head, list_position(ls, list_filter(ls, lambda x: trim(x) <> '')[1]) - 1 AS line FROM f)
 SELECT doc_id, n > 140 AND NOT coalesce(length(head) <= 70 AND r.active = 'ballistic', false) AS buried FROM h LEFT JOIN read r USING (doc_id, line)""", LINES, PART, DIST))
 def c19(spark, d):
-    return table(spark, d, "documents").select("doc_id", cl.buried(T, "ballistic", PACK).alias("buried"))
+    return table(spark, d, "documents").select("doc_id", cl.buried(F.col("text"), "ballistic", PACK).alias("buried"))
 
 
 @query("c20_says_launch", sql(f"""
 SELECT doc_id, line, {hit('launch')} AND len(list_filter(mentions, lambda x: x.tier <> 4)) = 0 AS out FROM m""", *FULL))
 def c20b(spark, d):
-    return mentioned_lines(spark, d).select("doc_id", "line", cl.says_launch(T, F.col("mentions"), FAR, PACK).alias("out"))
+    return mentioned_lines(spark, d).select("doc_id", "line", cl.says_launch(F.col("text"), F.col("mentions"), FAR, PACK).alias("out"))
 
 
 @query("c22_suggest", sql(f"""

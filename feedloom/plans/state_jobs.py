@@ -17,8 +17,28 @@ from .registry import query, table
 O = ["ts_s", "message_id"]
 K = ["who"]
 IDLE = 43200
-C, N = F.col("channel"), F.col("n")
-CLOSES = (C == "purchase") & (N % 3 != 0)
+
+
+def C():
+    return F.col("channel")
+
+
+def N():
+    return F.col("n")
+
+
+def closes():
+    return (C() == "purchase") & (N() % 3 != 0)
+
+
+def official():
+    return C().isin("signup", "purchase") & (N() % 2 == 0)
+
+
+def state():
+    return F.when(C() == "signup", "alert").when(C() == "purchase", "clear")
+
+
 WIN = "PARTITION BY who ORDER BY ts_s, message_id"
 PRIOR = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 SEG = f"""g0 AS (SELECT *, lag(channel = 'purchase' AND n % 3 <> 0) OVER w AS pc, ts_s - lag(ts_s) OVER w AS gap FROM feed WINDOW w AS ({WIN})),
@@ -26,7 +46,7 @@ seg AS (SELECT *, CAST(sum(CASE WHEN coalesce(pc, false) OR coalesce(gap, 0) > {
 
 
 def seg(spark, d):
-    return ep.segments(feed(spark, d), K, O, CLOSES, IDLE)
+    return ep.segments(feed(spark, d), K, O, closes(), IDLE)
 
 
 @query("st01_segments", sql("SELECT message_id, who, segment FROM seg", FEED, SEG))
@@ -40,7 +60,7 @@ a AS (SELECT *, lag(closes) OVER w AS pc, ts_s - lag(ts_s) OVER w AS gap FROM l
 b AS (SELECT *, sum(CASE WHEN coalesce(pc, false) OR coalesce(gap, 0) > {IDLE} THEN 1 ELSE 0 END) OVER ({WIN}) AS s FROM a)
 SELECT who, min(ts_s) AS opened_s, max(ts_s) AS last_live_s, count(*) AS rows FROM b WHERE opens GROUP BY who, s""", FEED))
 def st01(spark, d):
-    return ep.episodes(feed(spark, d), K, O, C.isin("error", "signup"), CLOSES, IDLE)
+    return ep.episodes(feed(spark, d), K, O, C().isin("error", "signup"), closes(), IDLE)
 
 
 @query("st02_order_lateness", sql("""
@@ -48,32 +68,30 @@ def st01(spark, d):
 b AS (SELECT *, greatest(coalesce(max(ts_s) OVER (ORDER BY seq, message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - ts_s, 0), 0) AS behind_s FROM a)
 SELECT message_id, behind_s, CASE WHEN official THEN behind_s > 3600 ELSE behind_s > 0 END AS late FROM b""", FEED))
 def st02(spark, d):
-    f = feed(spark, d).withColumn("seq", F.col("message_id") + (N % 9) * 20)
-    return ep.lateness(f, [], ["seq", "message_id"], C == "signup").select("message_id", "behind_s", "late")
+    f = feed(spark, d).withColumn("seq", F.col("message_id") + (N() % 9) * 20)
+    return ep.lateness(f, [], ["seq", "message_id"], C() == "signup").select("message_id", "behind_s", "late")
 
 
 SQL_AGE = f"""ag AS (SELECT *, channel IN ('signup', 'purchase') AND n % 2 = 0 AS official, CASE channel WHEN 'signup' THEN 'alert' WHEN 'purchase' THEN 'clear' END AS state,
   ts_s - last_value(CASE WHEN channel IN ('signup', 'purchase') AND n % 2 = 0 THEN ts_s END IGNORE NULLS) OVER ({WIN} {PRIOR}) AS age,
   bool_or(channel IN ('signup', 'purchase') AND n % 2 = 0) OVER (PARTITION BY who) AS has_official FROM feed)"""
-OFFICIAL = C.isin("signup", "purchase") & (N % 2 == 0)
-STATE = F.when(C == "signup", "alert").when(C == "purchase", "clear")
 
 
 def aged(spark, d):
-    return ep.official_age(feed(spark, d), K, O, OFFICIAL)
+    return ep.official_age(feed(spark, d), K, O, official())
 
 
 @query("st03_source_precedence", sql("""
 SELECT message_id, CASE WHEN state IS NULL THEN NULL WHEN official THEN 'declares' WHEN has_official THEN 'reports' ELSE 'declares' END AS role FROM ag""", FEED, SQL_AGE))
 def st03(spark, d):
-    return aged(spark, d).select("message_id", ep.precedence(STATE, OFFICIAL, F.col("has_official")).alias("role"))
+    return aged(spark, d).select("message_id", ep.precedence(state(), official(), F.col("has_official")).alias("role"))
 
 
 @query("st04_stale_source_fallback", sql("""
 SELECT message_id, coalesce(state = 'clear', false) AND n % 3 <> 0 AND (official OR NOT has_official OR (coalesce(age, 0) > 1800 AND n % 5 = 0 AND n % 7 <> 0)) AS accepted FROM ag""", FEED, SQL_AGE))
 def st04(spark, d):
     return aged(spark, d).select("message_id", ep.clear_accepted(
-        STATE, N % 3 == 0, OFFICIAL, F.col("has_official"), F.col("official_age_s"), N % 5 == 0, N % 7 == 0).alias("accepted"))
+        state(), N() % 3 == 0, official(), F.col("has_official"), F.col("official_age_s"), N() % 5 == 0, N() % 7 == 0).alias("accepted"))
 
 
 @query("st05_declare_once", sql(f"""
@@ -81,15 +99,15 @@ def st04(spark, d):
 p AS (SELECT *, max(CAST(told AS INT)) OVER w AS a, max(CAST(told AND expl AS INT)) OVER w AS k FROM s WINDOW w AS (PARTITION BY who, segment ORDER BY ts_s, message_id {PRIOR}))
 SELECT message_id, told AND (coalesce(a, 0) = 0 OR (expl AND coalesce(k, 0) = 0)) AS shown FROM p""", FEED, SEG))
 def st05(spark, d):
-    rows = seg(spark, d).withColumn("state", F.when(C == "signup", "alert")).withColumn("is_reply", F.col("message_id") % 4 == 0)
-    return ep.declare_once(rows, K, O, N % 2 == 0).select("message_id", "shown")
+    rows = seg(spark, d).withColumn("state", F.when(C() == "signup", "alert")).withColumn("is_reply", F.col("message_id") % 4 == 0)
+    return ep.declare_once(rows, K, O, N() % 2 == 0).select("message_id", "shown")
 
 
 @query("st06_clear_once", sql(f"""
 , m AS (SELECT *, last_value(CASE channel WHEN 'purchase' THEN true WHEN 'signup' THEN false END IGNORE NULLS) OVER ({WIN} {PRIOR}) AS l FROM feed)
 SELECT message_id, NOT coalesce(l, false) AS first FROM m WHERE channel = 'purchase'""", FEED))
 def st06(spark, d):
-    return ep.once_until(feed(spark, d), K, O, C == "purchase", C == "signup").select("message_id", "first")
+    return ep.once_until(feed(spark, d), K, O, C() == "purchase", C() == "signup").select("message_id", "first")
 
 
 @query("st07_partial_clear_once", sql(f"""
@@ -97,8 +115,8 @@ def st06(spark, d):
 m AS (SELECT *, last_value(CASE channel WHEN 'purchase' THEN true WHEN 'error' THEN false END IGNORE NULLS) OVER (PARTITION BY who, cls ORDER BY ts_s, message_id {PRIOR}) AS l FROM c)
 SELECT message_id, cls, NOT coalesce(l, false) AS first FROM m WHERE channel = 'purchase'""", FEED))
 def st07(spark, d):
-    f = feed(spark, d).withColumn("cls", N % 4)
-    return ep.once_until(f, ["who", "cls"], O, C == "purchase", C == "error").select("message_id", "cls", "first")
+    f = feed(spark, d).withColumn("cls", N() % 4)
+    return ep.once_until(f, ["who", "cls"], O, C() == "purchase", C() == "error").select("message_id", "cls", "first")
 
 
 @query("st08_class_inheritance", sql(f"""
@@ -107,8 +125,8 @@ l AS (SELECT *, last_value(CASE WHEN stated IS NOT NULL AND value > 5 THEN {{'at
 SELECT message_id, coalesce(stated, CASE WHEN NOT coalesce(channel = 'signup' AND ts_s - was.at > 7200, false) THEN was.cls END) AS effective,
   stated IS NULL AND CASE WHEN NOT coalesce(channel = 'signup' AND ts_s - was.at > 7200, false) THEN was.cls END IS NOT NULL AS inherited FROM l""", FEED, SEG))
 def st08(spark, d):
-    stated = F.when(C == "error", (N % 4).cast("string"))
-    return ep.inherit_class(seg(spark, d), K, O, stated, F.col("value") > 5, C == "signup", 7200).select(
+    stated = F.when(C() == "error", (N() % 4).cast("string"))
+    return ep.inherit_class(seg(spark, d), K, O, stated, F.col("value") > 5, C() == "signup", 7200).select(
         "message_id", "effective", "inherited")
 
 
@@ -124,9 +142,9 @@ p AS (SELECT *, greatest(0, CASE WHEN air_a THEN 1 ELSE 0 END, CASE WHEN air_b T
 SELECT message_id, peak, CASE cls WHEN 'a' THEN 1 WHEN 'b' THEN 2 WHEN 'c' THEN 3 WHEN 'd' THEN 5 ELSE 0 END > peak AS climbs FROM p""", FEED))
 def st09(spark, d):
     names = F.array(*[F.lit(x) for x in "abcde"])
-    f = feed(spark, d).withColumn("cls", F.get(names, (N % 5).cast("int"))).withColumn("lifted", F.get(names, ((N + 1) % 5).cast("int")))
-    lifted = F.when(C == "purchase", F.col("lifted"))
-    return ep.escalation(f, K, O, F.col("cls"), lifted, C.isin("error", "view"), LADDER).select("message_id", "peak", "climbs")
+    f = feed(spark, d).withColumn("cls", F.get(names, (N() % 5).cast("int"))).withColumn("lifted", F.get(names, ((N() + 1) % 5).cast("int")))
+    lifted = F.when(C() == "purchase", F.col("lifted"))
+    return ep.escalation(f, K, O, F.col("cls"), lifted, C().isin("error", "view"), LADDER).select("message_id", "peak", "climbs")
 
 
 @query("st10_novelty", "WITH RECURSIVE " + sql(f"""
@@ -138,7 +156,7 @@ r AS (SELECT who, segment, i, message_id, true AS audible, ts_s AS rang, cnt AS
   FROM rn x JOIN r ON x.who = r.who AND x.segment = r.segment AND x.i = r.i + 1)
 SELECT message_id, audible FROM r""", FEED, SEG)[5:])
 def st10(spark, d):
-    rows = seg(spark, d).select("who", "segment", "ts_s", "message_id", F.floor(N / 10).alias("count"), (N % 6 == 0).alias("says_new"))
+    rows = seg(spark, d).select("who", "segment", "ts_s", "message_id", F.floor(N() / 10).alias("count"), (N() % 6 == 0).alias("says_new"))
     return fold.novelty(rows, K, O, 14400, ["message_id"])
 
 
@@ -152,22 +170,22 @@ def st11(spark, d):
 , e AS (SELECT message_id, ts_s - lag(ts_s) OVER (ORDER BY ts_s, message_id) AS gap FROM feed WHERE n % 3 = 0)
 SELECT message_id, gap IS NULL OR gap > 240 AS fresh FROM e""", FEED))
 def st12(spark, d):
-    return ep.fresh_event(feed(spark, d), [], O, N % 3 == 0, 240).select("message_id", "fresh")
+    return ep.fresh_event(feed(spark, d), [], O, N() % 3 == 0, 240).select("message_id", "fresh")
 
 
 @query("st13_recheck_cycle", sql(f"""
 , m AS (SELECT *, last_value(CASE channel WHEN 'view' THEN true WHEN 'error' THEN false END IGNORE NULLS) OVER (PARTITION BY who, n % 3 ORDER BY ts_s, message_id {PRIOR}) AS l FROM feed)
 SELECT message_id, NOT coalesce(l, false) AS first FROM m WHERE channel = 'view'""", FEED))
 def st13(spark, d):
-    f = feed(spark, d).withColumn("kind", N % 3)
-    return ep.once_until(f, ["who", "kind"], O, C == "view", C == "error").select("message_id", "first")
+    f = feed(spark, d).withColumn("kind", N() % 3)
+    return ep.once_until(f, ["who", "kind"], O, C() == "view", C() == "error").select("message_id", "first")
 
 
 @query("st14_wave_reopening", sql(f"""
 , m AS (SELECT *, last_value(CASE WHEN channel = 'view' THEN true WHEN channel = 'error' AND n % 2 = 0 THEN false END IGNORE NULLS) OVER ({WIN} {PRIOR}) AS l FROM feed)
 SELECT message_id FROM m WHERE channel = 'error' AND n % 2 = 0 AND coalesce(l, false)""", FEED))
 def st14(spark, d):
-    return ep.first_after(feed(spark, d), K, O, C == "view", (C == "error") & (N % 2 == 0)).select("message_id")
+    return ep.first_after(feed(spark, d), K, O, C() == "view", (C() == "error") & (N() % 2 == 0)).select("message_id")
 
 
 def suppress_sql(keys, w, where="true"):
@@ -187,28 +205,28 @@ def st15(spark, d):
 
 @query("st16_echo_dedup", suppress_sql(["who"], 21600, "channel = 'error'"))
 def st16(spark, d):
-    return fold.suppress_within(feed(spark, d).filter(C == "error"), K, O, 21600, ["message_id"])
+    return fold.suppress_within(feed(spark, d).filter(C() == "error"), K, O, 21600, ["message_id"])
 
 
 @query("st17_distance_ladder", sql(f"""
 , t AS (SELECT *, n % 5 AS step, max(n % 5) OVER (PARTITION BY who, segment ORDER BY ts_s, message_id {PRIOR}) AS top FROM seg)
 SELECT message_id, step FROM t WHERE step > coalesce(top, 0)""", FEED, SEG))
 def st17(spark, d):
-    return ep.distance_ladder(seg(spark, d), K, O, N % 5).select("message_id", "step")
+    return ep.distance_ladder(seg(spark, d), K, O, N() % 5).select("message_id", "step")
 
 
 @query("st18_destination_follow_up", sql(f"""
 , m AS (SELECT *, last_value(CASE WHEN channel = 'error' AND n % 3 = 0 THEN true WHEN channel = 'view' AND n > 50 THEN false END IGNORE NULLS) OVER (PARTITION BY who, segment ORDER BY ts_s, message_id {PRIOR}) AS l FROM seg)
 SELECT message_id FROM m WHERE channel = 'view' AND n > 50 AND coalesce(l, false)""", FEED, SEG))
 def st18(spark, d):
-    return ep.first_after(seg(spark, d), ["who", "segment"], O, (C == "error") & (N % 3 == 0), (C == "view") & (N > 50)).select("message_id")
+    return ep.first_after(seg(spark, d), ["who", "segment"], O, (C() == "error") & (N() % 3 == 0), (C() == "view") & (N() > 50)).select("message_id")
 
 
 @query("st19_cause_follow_up", sql(f"""
 , m AS (SELECT *, last_value(CASE WHEN channel = 'signup' THEN true WHEN channel IN ('error', 'click') THEN false END IGNORE NULLS) OVER (PARTITION BY who, segment ORDER BY ts_s, message_id {PRIOR}) AS l FROM seg)
 SELECT message_id, channel FROM m WHERE channel IN ('error', 'click') AND coalesce(l, false)""", FEED, SEG))
 def st19(spark, d):
-    return ep.first_after(seg(spark, d), ["who", "segment"], O, C == "signup", C.isin("error", "click")).select("message_id", "channel")
+    return ep.first_after(seg(spark, d), ["who", "segment"], O, C() == "signup", C().isin("error", "click")).select("message_id", "channel")
 
 
 # --- the whole cascade: regions as recipients -----------------------------------
@@ -331,11 +349,11 @@ SELECT message_id, lead, concat_ws(' ', lead, body, CASE WHEN lead IS NULL AND b
 def st23(spark, d):
     none = F.array().cast("array<string>")
     rows = seg(spark, d).select(
-        "who", "segment", "ts_s", "message_id", F.when(N >= 30, "info").alias("level"),
-        F.when(C == "signup", "alert").otherwise(C).alias("tone"), C.alias("channel"),
-        F.when(N % 3 == 0, "x").when(N % 3 == 1, "y").alias("cls"),
-        F.when(N % 4 == 0, F.array(F.lit("here"), F.lit("there"))).when(N % 4 == 1, F.array(F.lit("here"))).otherwise(none).alias("places"),
-        F.concat("channel", F.lit("\n"), N.cast("string")).alias("source"), (C == "error").alias("is_launch"))
+        "who", "segment", "ts_s", "message_id", F.when(N() >= 30, "info").alias("level"),
+        F.when(C() == "signup", "alert").otherwise(C()).alias("tone"), C().alias("channel"),
+        F.when(N() % 3 == 0, "x").when(N() % 3 == 1, "y").alias("cls"),
+        F.when(N() % 4 == 0, F.array(F.lit("here"), F.lit("there"))).when(N() % 4 == 1, F.array(F.lit("here"))).otherwise(none).alias("places"),
+        F.concat("channel", F.lit("\n"), N().cast("string")).alias("source"), (C() == "error").alias("is_launch"))
     leads = {("alert" if k == "signup" else k): v for k, v in LEADS.items()}
     return an.announce(rows, K, O, leads, WORDS, 7200).select("message_id", "lead", "text")
 
@@ -356,15 +374,15 @@ SELECT b.who AS recipient, CASE WHEN NOT coalesce(opened_s > ended_s, false) THE
 FROM b JOIN x USING (who), now""", FEED))
 def st24(spark, d):
     f = feed(spark, d)
-    recon = views.last_times(f, "who", C, "recon_at").withColumn("recon_at", F.transform_values(
+    recon = views.last_times(f, "who", C(), "recon_at").withColumn("recon_at", F.transform_values(
         "recon_at", lambda _k, v: v + 28800 - views.RECON_TTL_S))
-    lifted = views.last_times(f.filter("channel <> 'view'"), "who", C, "lifted_at").withColumn("lifted_at", F.transform_values(
+    lifted = views.last_times(f.filter("channel <> 'view'"), "who", C(), "lifted_at").withColumn("lifted_at", F.transform_values(
         "lifted_at", lambda _k, v: v + 86400 - views.LIFTED_TTL_S))
     # The feed is a month of one row every few minutes; the age limits are stretched by shifting the times.
     now = f.agg(F.max("ts_s").alias("at_s"))
     s = f.groupBy("who").agg(
-        F.max(F.when(C == "signup", F.col("ts_s"))).alias("opened_s"), F.max(F.when(C == "purchase", F.col("ts_s"))).alias("ended_s"),
-        F.max("n").alias("peak"), F.collect_set(F.when(N >= 95, C)).alias("air"))
+        F.max(F.when(C() == "signup", F.col("ts_s"))).alias("opened_s"), F.max(F.when(C() == "purchase", F.col("ts_s"))).alias("ended_s"),
+        F.max("n").alias("peak"), F.collect_set(F.when(N() >= 95, C())).alias("air"))
     s = s.join(recon, "who").join(lifted, "who", "left").crossJoin(F.broadcast(now)).withColumn(
         "lifted_at", F.coalesce("lifted_at", F.create_map().cast("map<string,bigint>")))
     s = s.withColumn("open", F.coalesce(F.col("opened_s") > F.col("ended_s"), F.lit(False))).withColumn("announced", F.col("peak") > 98)
@@ -397,7 +415,7 @@ def st25(spark, d):
 SELECT message_id, ts_s < 1706000000 - 60 OR (channel = 'view' AND n >= 50) AS warm FROM feed WHERE ts_s >= 1706000000 - 5400 * 24""", FEED))
 def st26(spark, d):
     f = feed(spark, d)
-    said = f.filter((C == "view") & (N >= 50))
+    said = f.filter((C() == "view") & (N() >= 50))
     back = f.filter(F.col("ts_s") >= 1706000000 - 5400 * 24)
     return live.mark_warm(back, F.lit(1706000000), said).select("message_id", "warm")
 
@@ -408,8 +426,8 @@ SELECT who AS recipient, declared_s IS NOT NULL OR coalesce(official, false) AS
   CASE WHEN opened_s IS NULL THEN 'seeded' WHEN declared_s IS NULL THEN 'kept' ELSE 'corrected' END AS how FROM st FULL JOIN de USING (who)""", FEED, SQL_LAST))
 def st27(spark, d):
     states = last_rows(spark, d).filter("n >= 20").select(
-        F.col("who").alias("recipient"), F.col("live_at_s").alias("opened_s"), (C == "signup").alias("official"))
-    declared = feed(spark, d).filter((C == "signup") & (N >= 60)).groupBy(F.col("who").alias("recipient")).agg(F.max("ts_s").alias("declared_s"))
+        F.col("who").alias("recipient"), F.col("live_at_s").alias("opened_s"), (C() == "signup").alias("official"))
+    declared = feed(spark, d).filter((C() == "signup") & (N() >= 60)).groupBy(F.col("who").alias("recipient")).agg(F.max("ts_s").alias("declared_s"))
     return live.correct_state(states, declared)
 
 
@@ -427,7 +445,7 @@ def st28(spark, d):
 p AS (SELECT *, lag(version) OVER ({WIN}) AS prev FROM v)
 SELECT message_id, version FROM p WHERE version IS DISTINCT FROM prev""", FEED))
 def st29(spark, d):
-    v = clock.version_of(F.struct("channel", (N >= 50).alias("big")))
+    v = clock.version_of(F.struct("channel", (N() >= 50).alias("big")))
     return ep.changed_only(feed(spark, d), K, O, v).select("message_id", "version")
 
 
@@ -456,7 +474,7 @@ def st30b(spark, d):
 SELECT channel, count(*) AS n, median(lag) AS median, max(lag) AS worst FROM (SELECT channel, CAST(floor(value) AS BIGINT) + n AS lag FROM feed WHERE channel <> 'purchase') GROUP BY 1""", FEED))
 def st31(spark, d):
     from ..operators.reports import lag_stats
-    seen = feed(spark, d).withColumn("seen_s", F.col("ts_s") + F.floor("value").cast("long") + N).withColumn("warm", C == "purchase")
+    seen = feed(spark, d).withColumn("seen_s", F.col("ts_s") + F.floor("value").cast("long") + N()).withColumn("warm", C() == "purchase")
     live_rows = seen.filter("NOT warm").withColumn("lag_s", F.col("seen_s") - F.col("ts_s"))
     return lag_stats(live_rows, ["channel"], "lag_s").select("channel", "n", "median", "worst")
 

@@ -59,3 +59,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def width(spark: SparkSession) -> int:
     """Number of pieces a big frame is cut into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a frame read from few splits before costly work on its rows.
+
+    Big inputs already come in many splits and are left alone.
+    """
+    n = width(df.sparkSession)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
