@@ -159,7 +159,7 @@ def check_labels(labels: DataFrame, tones: Mapping[str, str]) -> DataFrame:
     say("warning", ring & (F.col("threat") == "none") & loud, "audible on nothing")
     say("warning", ring & (F.col("certainty") == "clear"), "tone on a clear")
     say("warning", ring & expected.isNotNull() & F.col("alarm").isNotNull() & (F.col("alarm") != "alert")
-        & (F.col("alarm") != expected) & ~((F.col("level") == "info") & (F.col("alarm") == "none")), "tone of another class")
+        & (F.col("alarm") != expected) & ~F.coalesce((F.col("level") == "info") & (F.col("alarm") == "none"), F.lit(False)), "tone of another class")
     say("warning", ring & F.col("modality").isin(*MECHANICALLY_SILENT) & loud, "audible on " + "silent modality")
     return rows.select("id", "anchor", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select(
         "id", "anchor", "x.*")
