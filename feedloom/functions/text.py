@@ -64,13 +64,15 @@ def is_footer(line: Column, promo: str, residue: int = PROMO_RESIDUE) -> Column:
 
 def strip_footer(c: Column, promo: str) -> Column:
     """Drop blank and promo lines from the end only."""
-    lines = F.split(c, "\n", -1)
-    kept = F.transform(
-        lines,
-        lambda x, i: F.when((trim_space(x) != "") & ~is_footer(x, promo), i + 1),
-    )
-    last = F.coalesce(F.array_max(kept), F.lit(0))
-    return F.array_join(F.slice(lines, F.lit(1), last), "\n")
+    def cut(lines: Column) -> Column:
+        kept = F.transform(
+            lines,
+            lambda x, i: F.when((trim_space(x) != "") & ~is_footer(x, promo), i + 1),
+        )
+        last = F.coalesce(F.array_max(kept), F.lit(0))
+        return F.array_join(F.slice(lines, F.lit(1), last), "\n")
+
+    return let(F.split(c, "\n", -1), cut)
 
 
 def normalize_text(c: Column, promo: str) -> Column:

@@ -132,29 +132,32 @@ def says_clear(c: Column, pack: Pack) -> Column:
     return out
 
 
-def partial_clear(c: Column, pack: Pack) -> Column:
-    """A clear for one class, not for the whole; waiting for one is not having one."""
-    return (~awaiting(c, pack) & ~clear_opinion(c, pack) & says_clear(c, pack)
-            & (class_hint(c, pack) != NONE))
+def partial_clear(c: Column, pack: Pack, hint: Column | None = None) -> Column:
+    """A clear for one class, not for the whole; waiting for one is not having one.
+
+    ``hint`` is the class hint where it is already at hand as a column.
+    """
+    hint = class_hint(c, pack) if hint is None else hint
+    return says_clear(c, pack) & ~awaiting(c, pack) & ~clear_opinion(c, pack) & (hint != NONE)
 
 
-def cleared_class(c: Column, pack: Pack) -> Column:
+def cleared_class(c: Column, pack: Pack, partial: Column | None = None) -> Column:
     """The class named nearest to the clear word of a partial clear."""
     near = let(without_level(c, pack), lambda m: F.array_min(_distances(m, pack))["label"])
-    return F.when(partial_clear(c, pack), near)
+    return F.when(partial_clear(c, pack) if partial is None else partial, near)
 
 
-def active_class(c: Column, pack: Pack) -> Column:
+def active_class(c: Column, pack: Pack, hint: Column | None = None, partial: Column | None = None) -> Column:
     """What is still up: the nearest class that is not the one being lifted."""
     def rest(found: Column) -> Column:
         ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["dist"].alias("dist"), x["label"].alias("label"))))
         return let(ordered, lambda o: F.coalesce(
             F.get(F.filter(o, lambda x: x["label"] != F.get(o, F.lit(0))["label"]), F.lit(0))["label"], F.lit(NONE)))
 
-    found = _distances(c, pack)
-    return F.when(
-        partial_clear(c, pack) & found.isNotNull() & (F.size(found) > 0), let(found, rest)
-    ).otherwise(class_hint(c, pack))
+    hint = class_hint(c, pack) if hint is None else hint
+    partial = partial_clear(c, pack) if partial is None else partial
+    lifted = F.when(partial, let(_distances(c, pack), lambda f: F.when(F.size(f) > 0, rest(f))))
+    return F.coalesce(lifted, hint)
 
 
 def alert_state(c: Column, pack: Pack) -> Column:
@@ -307,10 +310,11 @@ def classify(df: DataFrame, text: str, pack: Pack, tones: dict[str, str], strong
     flagged = df.withColumns({
         "shapes": live_shapes(c, F.col("mentions"), pack, filler, slack),
         "_hint": class_hint(c, pack),
-        "_active": active_class(c, pack),
         "alert_state": alert_state(c, pack),
-        "cleared": cleared_class(c, pack),
         "_impact": hits(c, pack, "impact"),
+    }).withColumn("_partial", partial_clear(c, pack, F.col("_hint"))).withColumns({
+        "_active": active_class(c, pack, F.col("_hint"), F.col("_partial")),
+        "cleared": cleared_class(c, pack, F.col("_partial")),
     })
     live = F.size("shapes") > 0
     named = F.when((F.col("_active") == NONE) & (live | F.col("_impact")), UNSURE).otherwise(F.col("_active"))
@@ -320,4 +324,4 @@ def classify(df: DataFrame, text: str, pack: Pack, tones: dict[str, str], strong
         "tone": tone_of(F.col("alert_state"), F.col("class"), tones, default_tone),
         "modality": modality(c, live, F.col("_hint"), pack),
         "certainty": certainty(c, placed, pack),
-    }).drop("_hint", "_active", "_impact")
+    }).drop("_hint", "_active", "_impact", "_partial")

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import flatten, let
+from ..session import small_side
 
 UNKNOWN = 9
+BROADCAST_STEMS = 200_000
 KEY_LEN = 3
 MARKER_WINDOW = 22
 COUNT_REACH = 30
@@ -38,31 +40,34 @@ def words_of(text: Column) -> Column:
     return F.split(flatten(text), "[ \\-]+")
 
 
-def stem_rows(place: DataFrame) -> DataFrame:
+def stem_rows(place: DataFrame, key_len: int = KEY_LEN) -> DataFrame:
     """One row per stem, cut into words."""
     one = place.withColumn("stem", F.explode("stems")).withColumn("parts", F.split("stem", "[ \\-]+"))
     first = F.element_at("parts", 1)
     return one.select(
-        F.left(first, F.lit(KEY_LEN)).alias("key"), "parts", F.size("parts").alias("width"),
+        F.left(first, F.lit(key_len)).alias("key"), "parts", F.size("parts").alias("width"),
         F.length("stem").alias("stem_len"), "name", "tier", "landmark", "origin", "ambiguous", "exact")
 
 
-def _key_rows(df: DataFrame, key: Sequence[str], text: str, short: bool) -> DataFrame:
+def _key_rows(df: DataFrame, key: Sequence[str], text: str, key_len: int, short: bool) -> DataFrame:
     pairs = let(words_of(F.col(text)), lambda w: F.transform(w, lambda x, i: F.struct(
         i.alias("at"), x.alias("w"), F.get(w, i + 1).alias("w2"), F.get(w, i + 2).alias("w3"))))
     rows = df.select(*key, F.explode(pairs).alias("p")).select(*key, "p.*").filter("w <> ''")
-    sizes = range(1, KEY_LEN + 1) if short else [KEY_LEN]
+    sizes = range(1, key_len + 1) if short else [key_len]
     keys = F.array_distinct(F.array(*[F.left("w", F.lit(n)) for n in sizes]))
-    return rows.withColumn("key", F.explode(keys) if short else F.left("w", F.lit(KEY_LEN)))
+    return rows.withColumn("key", F.explode(keys) if short else F.left("w", F.lit(key_len)))
 
 
 def stem_matches(df: DataFrame, key: Sequence[str], text: str, place: DataFrame,
-                 short_stems: bool = False) -> DataFrame:
+                 key_len: int = KEY_LEN, short_stems: bool = False) -> DataFrame:
     """Every word-aligned stem occurrence, up to three words wide.
 
-    ``short_stems`` must be set when a stem's first word has fewer than three letters.
+    Words meet stems on their first ``key_len`` letters; a longer key means fewer
+    candidates.  ``short_stems`` must be set when a stem that is matched by prefix has
+    fewer letters than that.
     """
-    hit = _key_rows(df, key, text, short_stems).join(stem_rows(place), "key")
+    stems = small_side(stem_rows(place, key_len), BROADCAST_STEMS)
+    hit = _key_rows(df, key, text, key_len, short_stems).join(stems, "key")
     last = F.element_at("parts", -1)
     whole = lambda word, part: F.when(F.col("exact"), word == part).otherwise(word.startswith(part))
     w, w2, w3 = F.col("w"), F.col("w2"), F.col("w3")
@@ -93,9 +98,9 @@ def place_spans(matches: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def with_mentions(df: DataFrame, key: Sequence[str], text: str, place: DataFrame,
-                  short_stems: bool = False) -> DataFrame:
+                  key_len: int = KEY_LEN, short_stems: bool = False) -> DataFrame:
     """``df`` plus ``mentions`` in resolution order (an empty array where none)."""
-    spans = place_spans(stem_matches(df, key, text, place, short_stems), key)
+    spans = place_spans(stem_matches(df, key, text, place, key_len, short_stems), key)
     kind = spans.schema["mentions"].dataType.simpleString()
     return df.join(spans, list(key), "left").withColumn(
         "mentions", F.coalesce("mentions", F.array().cast(kind)))
@@ -254,7 +259,7 @@ def personal_scope(static: Column, named: Column, ring: Column, near: Sequence[i
 
 
 def typo_candidates(df: DataFrame, key: Sequence[str], text: str, place: DataFrame, min_count: int = 1,
-                    min_len: int = 5, max_len: int = 24) -> DataFrame:
+                    min_len: int = 5, max_len: int = 24, key_len: int = KEY_LEN) -> DataFrame:
     """Capitalised words one edit away from a stem, none at zero; best stem and count.
 
     Words and stems within one edit share a string once a letter is dropped from
@@ -266,7 +271,7 @@ def typo_candidates(df: DataFrame, key: Sequence[str], text: str, place: DataFra
     found = found.withColumn("low", F.lower("token")).withColumn("head", F.left("low", F.lit(min_len)))
     stems = place.select("name", "tier", F.explode("stems").alias("stem")).filter(
         (F.length("stem") >= min_len) & ~F.col("stem").contains(" "))
-    named = with_mentions(df.select(*key, text), key, text, place).select(*key, F.explode(names(F.col("mentions"))).alias("name"))
+    named = with_mentions(df.select(*key, text), key, text, place, key_len).select(*key, F.explode(names(F.col("mentions"))).alias("name"))
     known = named.join(stems, "name").select(*key, F.left("stem", F.lit(min_len)).alias("head")).distinct()
     words = found.join(known, [*key, "head"], "left_anti").groupBy("token", "low").agg(
         F.count("*").alias("count")).filter(F.col("count") >= min_count)

@@ -63,7 +63,7 @@ _ds = "list_distinct(list_transform(mentions, lambda x: x.name))"
 
 
 def mentioned(spark, d):
-    return en.with_mentions(posts(spark, d), KEY, "text", dictionary(spark, d))
+    return en.with_mentions(posts(spark, d), KEY, "text", dictionary(spark, d), key_len=5)
 
 
 @query("g01_expand_stems", sql("""
@@ -75,7 +75,7 @@ def g01(spark, d):
 
 @query("g02_stem_matches", sql("SELECT message_id, CAST(s AS BIGINT) AS start_word, CAST(e AS BIGINT) AS end_word, name, len AS stem_len FROM matches", POSTS, PLACE, MATCH))
 def g02(spark, d):
-    return en.stem_matches(posts(spark, d), KEY, "text", dictionary(spark, d)).select(
+    return en.stem_matches(posts(spark, d), KEY, "text", dictionary(spark, d), key_len=5).select(
         "message_id", F.col("start").cast("long").alias("start_word"), F.col("end").cast("long").alias("end_word"), "name",
         F.col("stem_len").cast("long").alias("stem_len"))
 
@@ -349,7 +349,7 @@ x AS (SELECT token, n, name, tier, stem, substr(low, 1, length(stem)) AS prefix,
 g AS (SELECT token, n, min(dist) AS d, arg_min({{'name': name, 'stem': stem, 'tier': tier, 'prefix': prefix}}, (dist, name, stem)) AS b FROM x WHERE dist <= 1 GROUP BY 1, 2)
 SELECT token, n AS count, b.name AS suggests, b.stem AS stem, b.tier AS tier, {sq_keyboard('b.prefix', 'b.stem')} AS keyboard FROM g WHERE d = 1""", *ENT, SQL_STEMS))
 def g15(spark, d):
-    return en.typo_candidates(posts(spark, d), KEY, "text", dictionary(spark, d), min_count=2)
+    return en.typo_candidates(posts(spark, d), KEY, "text", dictionary(spark, d), min_count=2, key_len=5)
 
 
 @query("g16_keyboard_slip", f"""

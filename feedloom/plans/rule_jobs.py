@@ -43,7 +43,7 @@ FULL = (PLACE, LINES, MENTIONS)
 
 
 def mentioned_lines(spark, d):
-    return en.with_mentions(lines(spark, d), KEY, "text", dictionary(spark, d))
+    return en.with_mentions(lines(spark, d), KEY, "text", dictionary(spark, d), key_len=5)
 
 
 # --- the same evaluation written in SQL ---------------------------------------

@@ -42,7 +42,7 @@ def state():
 WIN = "PARTITION BY who ORDER BY ts_s, message_id"
 PRIOR = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 SEG = f"""g0 AS (SELECT *, lag(channel = 'purchase' AND n % 3 <> 0) OVER w AS pc, ts_s - lag(ts_s) OVER w AS gap FROM feed WINDOW w AS ({WIN})),
-seg AS (SELECT *, CAST(sum(CASE WHEN coalesce(pc, false) OR coalesce(gap, 0) > {IDLE} THEN 1 ELSE 0 END) OVER ({WIN}) AS BIGINT) AS segment FROM g0)"""
+seg AS (SELECT *, CAST(coalesce(sum(CASE WHEN coalesce(pc, false) THEN 1 ELSE 0 END) OVER ({WIN}), 0) + sum(CASE WHEN coalesce(gap, 0) > {IDLE} THEN 1 ELSE 0 END) OVER ({WIN}) AS BIGINT) AS segment FROM g0)"""
 
 
 def seg(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock, lookups, text
+from ..session import spread
 from .common import FEED, POSTS, PROMO, ZONE, feed, posts, sql
 from .registry import query, table
 
@@ -83,7 +84,8 @@ def _each(name, column, expr):
 
     @query(name, f"SELECT doc_id, {expr} AS out FROM documents")
     def run(spark, d):
-        return table(spark, d, "documents").select("doc_id", column(F.col("text")).alias("out"))
+        return spread(table(spark, d, "documents").select("doc_id", "text")).select(
+            "doc_id", column(F.col("text")).alias("out"))
 
     return run
 
@@ -103,7 +105,7 @@ WITH w AS (SELECT lang, unnest(regexp_extract_all(text, '{SQ_TOKEN}')) AS word F
 SELECT lang, count(*) AS n_tokens, count(*) FILTER (WHERE regexp_matches(word, '^\\p{{Lu}}')) AS n_capitalised,
        count(DISTINCT word) AS n_distinct FROM w GROUP BY lang""")
 def p09(spark, d):
-    w = table(spark, d, "documents").select(
+    w = spread(table(spark, d, "documents")).select(
         "lang", F.explode(text.tokens(F.col("text"))).alias("word"))
     per_word = w.groupBy("lang", "word").agg(F.count("*").alias("c"))
     return per_word.groupBy("lang").agg(
@@ -117,7 +119,7 @@ WITH w AS (SELECT unnest(regexp_extract_all(text, '{SQ_TOKEN}')) AS word FROM do
 SELECT substr(lower(word), 1, 6) AS family, count(*) AS n, count(DISTINCT word) AS forms
 FROM w GROUP BY 1""")
 def p10(spark, d):
-    w = table(spark, d, "documents").select(F.explode(text.tokens(F.col("text"))).alias("word"))
+    w = spread(table(spark, d, "documents")).select(F.explode(text.tokens(F.col("text"))).alias("word"))
     per_word = w.groupBy("word").agg(F.count("*").alias("c"))
     return per_word.groupBy(text.stem_key(F.col("word")).alias("family")).agg(
         F.sum("c").alias("n"), F.count("*").alias("forms"))
@@ -241,7 +243,7 @@ c AS (SELECT lang, size, gram, count(*) AS n FROM g GROUP BY ALL)
 SELECT lang, CAST(size AS BIGINT) AS size, count(*) AS n_distinct, CAST(sum(n) AS BIGINT) AS n_grams, max(n) AS top_count
 FROM c GROUP BY 1, 2""")
 def p18(spark, d):
-    g = table(spark, d, "documents").select(
+    g = spread(table(spark, d, "documents")).select(
         "lang", F.explode(text.char_ngrams(F.col("text"))).alias("gram"))
     c = g.groupBy("lang", "gram").agg(F.count("*").alias("n"))
     return c.groupBy("lang", F.length("gram").cast("long").alias("size")).agg(

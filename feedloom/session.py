@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str = "8", app: str = "feedloom") -> SparkSession:
@@ -68,3 +69,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     n = width(df.sparkSession)
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` materialised, and marked for broadcast only if it has at most ``rows`` rows.
+
+    Past that bound the join shuffles both sides, as any other.
+    """
+    held = settle(df)
+    return F.broadcast(held) if held.count() <= rows else held

@@ -29,12 +29,15 @@ def segments(rows: DataFrame, keys: Sequence[str], order: Sequence[str], closes:
     """
     cut = closes if keep_open is None else closes & ~F.coalesce(keep_open, F.lit(False))
     held = F.lit(False) if hold is None else F.coalesce(hold, F.lit(False))
-    first = scan(rows.withColumn("_cut", F.coalesce(cut, F.lit(False))), keys, order,
-                 _prev=last_before(F.struct(F.col("ts_s").alias("at"), F.col("_cut").alias("cut"))))
-    new = F.col("_prev").isNotNull() & (
-        F.col("_prev.cut") | ((F.col("ts_s") - F.col("_prev.at") > idle_s) & ~held))
-    return scan(first.withColumn("_new", new.cast("long")), keys, order,
-                segment=sum_so_far(F.col("_new"))).drop("_cut", "_prev", "_new")
+    first = scan(rows.withColumn("_cut", F.coalesce(cut, F.lit(False))), keys, order, _at=last_before(F.col("ts_s")))
+    gap = F.coalesce(F.col("ts_s") - F.col("_at") > idle_s, F.lit(False)) & ~held
+    return number(first, keys, order, F.col("_cut"), gap).drop("_cut", "_at")
+
+
+def number(rows: DataFrame, keys: Sequence[str], order: Sequence[str], cut: Column, gap: Column) -> DataFrame:
+    """``segment``: cuts on earlier rows plus gaps up to this one."""
+    out = scan(rows, keys, order, _cuts=sum_so_far(cut.cast("long"), inclusive=False), _gaps=sum_so_far(gap.cast("long")))
+    return out.withColumn("segment", F.coalesce("_cuts", F.lit(0)) + F.col("_gaps")).drop("_cuts", "_gaps")
 
 
 def episodes(rows: DataFrame, keys: Sequence[str], order: Sequence[str], opens: Column, closes: Column,
