@@ -271,7 +271,7 @@ def nb_crossval(rows: DataFrame, ident: str, text: str, label: str, fold: str) -
 
 def nb_fit(train: DataFrame, ident: str, text: str, label: str) -> tuple[DataFrame, DataFrame]:
     """(gram counts per class, one row per class with prior and denominator)."""
-    grams = gram_counts(train, [label], text)
+    grams = settle(gram_counts(train, [label], text))
     vocab = grams.select("gram").distinct().agg(F.count("*").alias("v"))
     total = train.agg(F.count("*").alias("n_all"))
     classes = train.groupBy(label).agg(F.count("*").alias("n")).join(
@@ -285,7 +285,7 @@ def nb_fit(train: DataFrame, ident: str, text: str, label: str) -> tuple[DataFra
 
 def nb_predict(model: tuple[DataFrame, DataFrame], test: DataFrame, ident: str, text: str) -> DataFrame:
     counts, classes = model
-    grams = gram_counts(test, [ident], text)
+    grams = settle(gram_counts(test, [ident], text))
     gain = grams.join(counts, "gram").groupBy(ident, "_y").agg(
         F.sum(F.col("k") * (F.log(F.col("c") + SMOOTHING) - F.log(F.lit(SMOOTHING)))).alias("gain"))
     length = grams.groupBy(ident).agg(F.sum("k").alias("len"))

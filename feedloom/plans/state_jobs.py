@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..session import settle
+from ..session import spread
 from ..sources.logs import latest_state
 from ..streaming import announce as an
 from ..streaming import episodes as ep
@@ -269,7 +269,7 @@ def observe(f, spark, d):
 
 
 def decisions(spark, d):
-    return policy.replay(observe(feed(spark, d), spark, d))
+    return policy.replay(observe(spread(feed(spark, d)), spark, d))
 
 
 @query("st20_decision_cascade")
@@ -284,7 +284,7 @@ def st22(spark, d):
 
 @query("st22_replay_by_night")
 def st22b(spark, d):
-    f = feed(spark, d)
+    f = spread(feed(spark, d))
     night = clock.night_id(clock.from_epoch(F.col("ts_s")), ZONE).cast("string")
     obs = observe(f, spark, d).withColumn("night", night)
     got = policy.replay(obs, ["recipient", "night"])
