@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import flatten, let
-from ..session import small_side
+from ..session import settle, small_side, width
 
 UNKNOWN = 9
 BROADCAST_STEMS = 200_000
+BROADCAST_RINGS = 500_000
 KEY_LEN = 3
 MARKER_WINDOW = 22
 COUNT_REACH = 30
@@ -332,8 +333,16 @@ def fan_out(readings: DataFrame, recipients: DataFrame, places: str, ring: str)
     every = F.array(F.lit("*"))
     left = readings.withColumn("_key", F.explode(
         F.when(F.size(places) == 0, every).otherwise(F.array_distinct(places))))
-    right = recipients.select("recipient", F.explode(F.array_union(F.col(ring), every)).alias("_key"))
+    right = settle(recipients.select("recipient", F.explode(F.array_union(F.col(ring), every)).alias("_key")))
     keep = [c for c in readings.columns if c not in ("channel", "message_id")]
-    hits = left.join(right, "_key")
+    if right.count() <= BROADCAST_RINGS:
+        hits = left.join(F.broadcast(right), "_key")
+    else:
+        # Too many recipients to send around: every key, the wildcard above all, is
+        # split over salts so that no place gathers in one task.
+        salts = width(readings.sparkSession)
+        left = left.withColumn("_salt", F.pmod(F.xxhash64("channel", "message_id"), F.lit(salts)))
+        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        hits = left.join(right, ["_key", "_salt"]).drop("_salt")
     return hits.groupBy("channel", "message_id", "recipient").agg(
         F.sort_array(F.collect_set("_key")).alias("touched"), *[F.first(c).alias(c) for c in keep])

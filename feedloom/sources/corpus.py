@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scan import row_index, scan
+from ..session import small_side
+
+BROADCAST_CHANNELS = 100_000
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -40,9 +43,12 @@ def resume_ids(messages: DataFrame) -> DataFrame:
 
 
 def newer_than(df: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows above their channel's mark; an unknown channel starts at 0."""
+    """Rows above their channel's mark; an unknown channel starts at 0.
+
+    Channels are few, so the marks normally travel and the feed stays where it is.
+    """
     return (
-        df.join(marks, "channel", "left")
+        df.join(small_side(marks, BROADCAST_CHANNELS), "channel", "left")
         .filter(F.col("message_id") > F.coalesce("resume_id", F.lit(0)))
         .drop("resume_id")
     )

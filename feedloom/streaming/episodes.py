@@ -61,9 +61,13 @@ def lateness(rows: DataFrame, keys: Sequence[str], arrival: Sequence[str], offic
 
 def official_age(rows: DataFrame, keys: Sequence[str], order: Sequence[str], official: Column) -> DataFrame:
     """Seconds since the authoritative source spoke, and whether it is in the stream at all."""
-    out = scan(rows, keys, order, _said=last_before(F.when(official, F.col("ts_s"))))
-    present = rows.groupBy(*keys).agg(F.max(official).alias("has_official"))
-    return out.withColumn("official_age_s", F.col("ts_s") - F.col("_said")).drop("_said").join(present, list(keys))
+    seen = F.when(official, 1)
+    out = scan(rows.withColumn("_now", F.coalesce(official, F.lit(False))), keys, order,
+               _said=last_before(F.when(official, F.col("ts_s"))),
+               _before=Running("max", seen, False), _after=Running("max", seen, False, True))
+    return out.withColumn("official_age_s", F.col("ts_s") - F.col("_said")).withColumn(
+        "has_official", F.col("_now") | F.col("_before").isNotNull() | F.col("_after").isNotNull()
+    ).drop("_now", "_said", "_before", "_after")
 
 
 def precedence(state: Column, official: Column, has_official: Column) -> Column:
