@@ -93,21 +93,23 @@ def scan(
     keys: Sequence[str],
     order: Sequence[str],
     pieces: int | None = None,
+    again: bool = False,
+    keep_pieces: bool = False,
     **outs: Running,
 ) -> DataFrame:
     """``df`` with one column per entry of ``outs``.
 
     ``order`` must make rows of one key distinct, so that the result does not
-    depend on how ties fall.
+    depend on how ties fall.  ``keep_pieces`` leaves the piece number in the result, so
+    that the next scan over the same keys and order (``again``) need not cut anew.
     """
     names = list(outs)
     cols = {n: f"_in_{n}" for n in names}
     width_ = pieces or width(df.sparkSession)
-    cut = settle(
-        df.select("*", *[outs[n].value.alias(cols[n]) for n in names])
-        .repartitionByRange(width_, *keys, *order)
-        .withColumn(PIECE, F.spark_partition_id())
-    )
+    fed = df.select("*", *[outs[n].value.alias(cols[n]) for n in names])
+    if not again:
+        fed = fed.repartitionByRange(width_, *keys, *order).withColumn(PIECE, F.spark_partition_id())
+    cut = settle(fed)
 
     totals = cut.groupBy(*keys, PIECE).agg(
         *[_total(outs[n], cols[n], order).alias(f"_t_{n}") for n in names]
@@ -144,7 +146,8 @@ def scan(
     # At most two rows per piece survive the filter on _spread: safe to broadcast.
     both = local.join(F.broadcast(carry), on, "left")
     return both.select(
-        *df.columns,
+        *[c for c in df.columns if c != PIECE],
+        *([PIECE] if keep_pieces else []),
         *[
             _joined(outs[n], F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n)
             for n in names

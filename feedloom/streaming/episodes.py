@@ -29,14 +29,15 @@ def segments(rows: DataFrame, keys: Sequence[str], order: Sequence[str], closes:
     """
     cut = closes if keep_open is None else closes & ~F.coalesce(keep_open, F.lit(False))
     held = F.lit(False) if hold is None else F.coalesce(hold, F.lit(False))
-    first = scan(rows.withColumn("_cut", F.coalesce(cut, F.lit(False))), keys, order, _at=last_before(F.col("ts_s")))
+    first = scan(rows.withColumn("_cut", F.coalesce(cut, F.lit(False))), keys, order, keep_pieces=True, _at=last_before(F.col("ts_s")))
     gap = F.coalesce(F.col("ts_s") - F.col("_at") > idle_s, F.lit(False)) & ~held
-    return number(first, keys, order, F.col("_cut"), gap).drop("_cut", "_at")
+    return number(first, keys, order, F.col("_cut"), gap, again=True).drop("_cut", "_at")
 
 
-def number(rows: DataFrame, keys: Sequence[str], order: Sequence[str], cut: Column, gap: Column) -> DataFrame:
+def number(rows: DataFrame, keys: Sequence[str], order: Sequence[str], cut: Column, gap: Column,
+           again: bool = False) -> DataFrame:
     """``segment``: cuts on earlier rows plus gaps up to this one."""
-    out = scan(rows, keys, order, _cuts=sum_so_far(cut.cast("long"), inclusive=False), _gaps=sum_so_far(gap.cast("long")))
+    out = scan(rows, keys, order, again=again, _cuts=sum_so_far(cut.cast("long"), inclusive=False), _gaps=sum_so_far(gap.cast("long")))
     return out.withColumn("segment", F.coalesce("_cuts", F.lit(0)) + F.col("_gaps")).drop("_cuts", "_gaps")
 
 
@@ -59,11 +60,12 @@ def lateness(rows: DataFrame, keys: Sequence[str], arrival: Sequence[str], offic
     ).drop("_official", "_high")
 
 
-def official_age(rows: DataFrame, keys: Sequence[str], order: Sequence[str], official: Column) -> DataFrame:
+def official_age(rows: DataFrame, keys: Sequence[str], order: Sequence[str], official: Column,
+                 keep_pieces: bool = False) -> DataFrame:
     """Seconds since the authoritative source spoke, and whether it is in the stream at all."""
     seen = F.when(official, 1)
     out = scan(rows.withColumn("_now", F.coalesce(official, F.lit(False))), keys, order,
-               _said=last_before(F.when(official, F.col("ts_s"))),
+               keep_pieces=keep_pieces, _said=last_before(F.when(official, F.col("ts_s"))),
                _before=Running("max", seen, False), _after=Running("max", seen, False, True))
     return out.withColumn("official_age_s", F.col("ts_s") - F.col("_said")).withColumn(
         "has_official", F.col("_now") | F.col("_before").isNotNull() | F.col("_after").isNotNull()
