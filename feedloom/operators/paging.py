@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.corpus import first_per_key
+from .scan import row_index, scan
 
 FEED_KEY = ("ts_s", "channel", "message_id")
 
@@ -60,14 +61,13 @@ def screen_lines(said: DataFrame, episode: DataFrame, key: str, at: Column, keep
                  clear_ttl_s: int = 3600) -> DataFrame:
     """Last lines of the running episode, with a recent all-clear unless an alert is on.
 
-    The few newest lines are kept by a max over (rank bucket) rounds rather than a
-    sort of everything one recipient ever saw.
+    The rank comes from a scan in pieces, so a recipient with very many lines is not
+    sorted in one task.
     """
     j = said.join(episode, key)
     mine = F.col("at_s") >= F.col("opened_s")
     ended = (F.col("alarm") == "clear") & ~F.col("alert_on") & (at - F.col("at_s") <= clear_ttl_s)
     lines = j.filter(mine | ended).withColumn("line", F.struct("at_s", "anchor"))
-    from .scan import row_index, scan
     ranked = scan(
         lines.withColumn("_neg", -F.col("at_s")), [key], ["_neg", "anchor"], rank=row_index())
     return ranked.filter(F.col("rank") <= keep).select(key, "at_s", "anchor", "rank")

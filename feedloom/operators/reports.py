@@ -61,8 +61,8 @@ def families(m: DataFrame, min_total: int = 5, min_variants: int = 2, top: int =
 def term_frequency(m: DataFrame, terms: Sequence[str], examples: int = 3) -> DataFrame:
     """Messages containing each term, and the first few of them by time.
 
-    The terms are a short fixed list, so the few earliest rows per term are kept by
-    a bounded min-aggregate that combines before the shuffle.
+    The rank inside a term comes from a scan in pieces: a term standing in a third of
+    all messages is not gathered in one task.
     """
     low = F.lower("text")
     hit = m.select("ts_s", "message_id", "text", F.explode(F.filter(
