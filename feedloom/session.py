@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cpus: str = "8", app: str = "feedloom") -> SparkSession:
@@ -29,7 +30,8 @@ def local_session(cpus: str = "8", app: str = "feedloom") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a test) gets a folder of its own.
+    On a cluster the session has to name one; only a local session, where driver and
+    executors are one process, gets a folder of its own.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get(
@@ -41,6 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     current = sc.getCheckpointDir()
     if current is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         current = sc.getCheckpointDir()
     return current
@@ -54,7 +58,7 @@ def settle(df: DataFrame) -> DataFrame:
     hold fall back to a checkpoint.
     """
     spark = df.sparkSession
-    if "void" in df.schema.simpleString():
+    if any(_has_void(f.dataType) for f in df.schema.fields):
         shared_folder(spark)
         return df.checkpoint(eager=True)
     path = fresh_path(spark, "settled")
@@ -62,6 +66,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _has_void(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_void(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_void(kind.keyType) or _has_void(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(_has_void(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.NullType)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder for a table that is written once."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
