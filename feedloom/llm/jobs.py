@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import near_copies, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,8 @@ def op1_quality_rules(spark, d):
     v = quality.verdicts(table(spark, d, "documents"))
     ints = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return v.select("doc_id", *ints, "base_failed", "kept", *quality.FENCES)
+
+
+@query
+def op5_simhash_near_dedup(spark, d):
+    return near_copies.near_duplicates(table(spark, d, "documents"))
