@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_copies, quality
+from . import near_copies, quality, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,13 @@ def op1_quality_rules(spark, d):
 @query
 def op5_simhash_near_dedup(spark, d):
     return near_copies.near_duplicates(table(spark, d, "documents"))
+
+
+@query
+def op6_bounded_ring_shards(spark, d):
+    return sharding.shard(table(spark, d, "documents"))
+
+
+@query
+def op7_secret_scan(spark, d):
+    return secret_scan.report(table(spark, d, "documents"))
