@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_copies, quality, secret_scan, sharding
+from . import mixing, near_copies, packing, quality, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,8 @@ FROM ordered"""
 @query(sql=OP8_SQL)
 def op8_hierarchical_mix(spark, d):
     return mixing.select(table(spark, d, "documents"))
+
+
+@query
+def op9_sum_of_squares_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"))
