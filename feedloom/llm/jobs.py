@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_copies, packing, quality, secret_scan, sharding
+from . import mixing, near_copies, packing, quality, secret_scan, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +104,9 @@ def op8_hierarchical_mix(spark, d):
 @query
 def op9_sum_of_squares_packing(spark, d):
     return packing.pack(table(spark, d, "documents"))
+
+
+@query
+def op10_toxic_chain(spark, d):
+    docs = table(spark, d, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, d, "labels")))

@@ -19,28 +19,29 @@ def map_texts(
     fn: Callable[[list[str | None]], Iterable[Sequence]],
     out: T.StructType,
     keep: Sequence[str],
+    rows: int = SLICE,
 ) -> DataFrame:
     """``keep`` columns of ``df`` plus what ``fn`` makes of each text, one tuple a row.
 
-    ``fn`` gets the whole texts of at most SLICE rows at once; nulls stay None.  No row is
+    ``fn`` gets the whole texts of at most ``rows`` rows at once; nulls stay None.  No row is
     added or lost and nothing is shuffled.
     """
-    rows = df.select(*keep, F.col(text).alias("_text"))
-    schema = T.StructType([rows.schema[k] for k in keep] + out.fields)
+    narrow = df.select(*keep, F.col(text).alias("_text"))
+    schema = T.StructType([narrow.schema[k] for k in keep] + out.fields)
     kinds = [to_arrow_type(f.dataType) for f in out.fields]
     names = [f.name for f in schema.fields]
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 made = list(zip(*fn(part.column(len(names) - len(kinds)).to_pylist())))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(keep))] + [pa.array(c, k) for c, k in zip(made, kinds)],
                     names=names,
                 )
 
-    return rows.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema)
 
 
 def boxed(df: DataFrame, *more) -> DataFrame:
