@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, near_copies, packing, quality, secret_scan, sharding, toxicity
+from . import mixing, near_copies, neighbours, packing, quality, secret_scan, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +111,8 @@ def op9_sum_of_squares_packing(spark, d):
 def op10_toxic_chain(spark, d):
     docs = table(spark, d, "documents")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, d, "labels")))
+
+
+@query
+def op2_sharded_hnsw(spark, d):
+    return neighbours.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
