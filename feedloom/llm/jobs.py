@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_copies, neighbours, packing, quality, secret_scan, sharding, toxicity
+from . import mixing, near_copies, neighbours, packing, quality, repeats, secret_scan, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,8 @@ def op10_toxic_chain(spark, d):
 @query
 def op2_sharded_hnsw(spark, d):
     return neighbours.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op3_columnwise_repeats(spark, d):
+    return repeats.remove_repeats(table(spark, d, "documents")).drop("kept")
