@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_copies, neighbours, packing, quality, repeats, secret_scan, sharding, toxicity
+from . import mixing, near_copies, neighbours, packing, quality, repeats, secret_scan, sharding, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,8 @@ def op2_sharded_hnsw(spark, d):
 @query
 def op3_columnwise_repeats(spark, d):
     return repeats.remove_repeats(table(spark, d, "documents")).drop("kept")
+
+
+@query
+def op4_context_mixed_tokens(spark, d):
+    return token_files.round_trip(table(spark, d, "documents"))
