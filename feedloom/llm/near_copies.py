@@ -181,14 +181,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(code, component_id) of every distinct code in ``prints`` (doc_id, code)."""
+    """(code, root, component_id) of every distinct code in ``prints`` (doc_id, code).
+
+    ``root`` tells components apart even where rows of two of them share a doc_id.
+    """
     least = settle(prints.groupBy("code").agg(F.min("doc_id").alias("least")))
     roots = components(links(least.select("code"), limit))
     placed = settle(
         least.join(roots, least["code"] == roots["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root"))
     )
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(ids, "root").select("code", "component_id")
+    return placed.join(ids, "root").select("code", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -210,7 +213,7 @@ def keep_one(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     group = classes(prints, limit)
     first = (
         prints.join(group, "code")
-        .groupBy("component_id")
+        .groupBy("root")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "code")).alias("x"))
         .select(F.col("x.doc_id").alias("_id"), F.col("x.code").alias("_code"), F.lit(True).alias("_keep"))
     )
