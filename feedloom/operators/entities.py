@@ -19,7 +19,7 @@ from ..session import settle, small_side, width
 UNKNOWN = 9
 BROADCAST_STEMS = 200_000
 BROADCAST_RINGS = 500_000
-KEY_LEN = 3
+KEY_LEN = 5  # letters of a longer stem that a word must share before the two are compared
 MARKER_WINDOW = 22
 COUNT_REACH = 30
 LOOK_BACK_WORDS = 16
@@ -41,42 +41,33 @@ def words_of(text: Column) -> Column:
     return F.split(flatten(text), "[ \\-]+")
 
 
-def stem_rows(place: DataFrame, key_len: int = KEY_LEN) -> DataFrame:
-    """One row per stem, cut into words."""
+def stem_rows(place: DataFrame) -> DataFrame:
+    """One row per stem, cut into words; ``key`` is where a word has to begin."""
     one = place.withColumn("stem", F.explode("stems")).withColumn("parts", F.split("stem", "[ \\-]+"))
-    first = F.element_at("parts", 1)
     return one.select(
-        F.left(first, F.lit(key_len)).alias("key"), "parts", F.size("parts").alias("width"),
+        F.left(F.element_at("parts", 1), F.lit(KEY_LEN)).alias("key"), "parts", F.size("parts").alias("width"),
         F.length("stem").alias("stem_len"), "name", "tier", "landmark", "origin", "ambiguous", "exact")
 
 
-def _key_rows(df: DataFrame, key: Sequence[str], text: str, key_len: int, short: bool) -> DataFrame:
+def stem_matches(df: DataFrame, key: Sequence[str], text: str, place: DataFrame) -> DataFrame:
+    """Every word-aligned stem occurrence, whatever its length and number of words.
+
+    Words meet stems on the first letters of the stem's first word.  How many letters that
+    takes, and how many words after it a stem can reach, is read off the dictionary.
+    """
+    stems = small_side(stem_rows(place), BROADCAST_STEMS)
+    shape = stems.agg(F.collect_set(F.length("key")).alias("sizes"), F.max("width").alias("widest")).first()  # KEY_LEN numbers at most
+    sizes, more = sorted(shape["sizes"]) or [KEY_LEN], (shape["widest"] or 1) - 1
     pairs = let(words_of(F.col(text)), lambda w: F.transform(w, lambda x, i: F.struct(
-        i.alias("at"), x.alias("w"), F.get(w, i + 1).alias("w2"), F.get(w, i + 2).alias("w3"))))
+        i.alias("at"), x.alias("w"), (F.slice(w, i + 2, more) if more else F.array().cast("array<string>")).alias("then"))))
     rows = df.select(*key, F.explode(pairs).alias("p")).select(*key, "p.*").filter("w <> ''")
-    sizes = range(1, key_len + 1) if short else [key_len]
+    # a word shorter than a size gives the same key as the size below, once
     keys = F.array_distinct(F.array(*[F.left("w", F.lit(n)) for n in sizes]))
-    return rows.withColumn("key", F.explode(keys) if short else F.left("w", F.lit(key_len)))
-
-
-def stem_matches(df: DataFrame, key: Sequence[str], text: str, place: DataFrame,
-                 key_len: int = KEY_LEN, short_stems: bool = False) -> DataFrame:
-    """Every word-aligned stem occurrence, up to three words wide.
-
-    Words meet stems on their first ``key_len`` letters; a longer key means fewer
-    candidates.  ``short_stems`` must be set when a stem that is matched by prefix has
-    fewer letters than that.
-    """
-    stems = small_side(stem_rows(place, key_len), BROADCAST_STEMS)
-    hit = _key_rows(df, key, text, key_len, short_stems).join(stems, "key")
-    last = F.element_at("parts", -1)
-    whole = lambda word, part: F.when(F.col("exact"), word == part).otherwise(word.startswith(part))
-    w, w2, w3 = F.col("w"), F.col("w2"), F.col("w3")
-    ok = (
-        F.when(F.col("width") == 1, whole(w, last))
-        .when(F.col("width") == 2, (w == F.element_at("parts", 1)) & whole(w2, last))
-        .when(F.col("width") == 3, (w == F.element_at("parts", 1)) & (w2 == F.element_at("parts", 2)) & whole(w3, last))
-    )
+    hit = rows.withColumn("key", F.explode(keys) if len(sizes) > 1 else F.left("w", F.lit(sizes[0]))).join(stems, "key")
+    words = F.concat(F.array("w"), "then")
+    last, part = F.get(words, F.col("width") - 1), F.element_at("parts", -1)
+    head = F.slice(words, 1, F.col("width") - 1) == F.slice("parts", 1, F.col("width") - 1)
+    ok = head & F.when(F.col("exact"), last == part).otherwise(last.startswith(part))
     return hit.filter(F.coalesce(ok, F.lit(False))).select(
         *key, F.col("at").alias("start"), (F.col("at") + F.col("width")).alias("end"), "stem_len",
         "name", "tier", "landmark", "origin", "ambiguous")
@@ -98,10 +89,9 @@ def place_spans(matches: DataFrame, key: Sequence[str]) -> DataFrame:
     return per.select(*key, F.aggregate("c", F.array().cast(kind), take).alias("mentions"))
 
 
-def with_mentions(df: DataFrame, key: Sequence[str], text: str, place: DataFrame,
-                  key_len: int = KEY_LEN, short_stems: bool = False) -> DataFrame:
+def with_mentions(df: DataFrame, key: Sequence[str], text: str, place: DataFrame) -> DataFrame:
     """``df`` plus ``mentions`` in resolution order (an empty array where none)."""
-    spans = place_spans(stem_matches(df, key, text, place, key_len, short_stems), key)
+    spans = place_spans(stem_matches(df, key, text, place), key)
     kind = spans.schema["mentions"].dataType.simpleString()
     return df.join(spans, list(key), "left").withColumn(
         "mentions", F.coalesce("mentions", F.array().cast(kind)))
@@ -260,7 +250,7 @@ def personal_scope(static: Column, named: Column, ring: Column, near: Sequence[i
 
 
 def typo_candidates(df: DataFrame, key: Sequence[str], text: str, place: DataFrame, min_count: int = 1,
-                    min_len: int = 5, max_len: int = 24, key_len: int = KEY_LEN) -> DataFrame:
+                    min_len: int = 5) -> DataFrame:
     """Capitalised words one edit away from a stem, none at zero; best stem and count.
 
     Words and stems within one edit share a string once a letter is dropped from
@@ -268,22 +258,30 @@ def typo_candidates(df: DataFrame, key: Sequence[str], text: str, place: DataFra
     pairing every word with every stem.
     """
     pattern = "\\p{Lu}[\\p{Ll}'\\-]{%d,}" % (min_len - 1)
-    found = df.select(*key, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("token"))
-    found = found.withColumn("low", F.lower("token")).withColumn("head", F.left("low", F.lit(min_len)))
-    stems = place.select("name", "tier", F.explode("stems").alias("stem")).filter(
-        (F.length("stem") >= min_len) & ~F.col("stem").contains(" "))
-    named = with_mentions(df.select(*key, text), key, text, place, key_len).select(*key, F.explode(names(F.col("mentions"))).alias("name"))
-    known = named.join(stems, "name").select(*key, F.left("stem", F.lit(min_len)).alias("head")).distinct()
-    words = found.join(known, [*key, "head"], "left_anti").groupBy("token", "low").agg(
-        F.count("*").alias("count")).filter(F.col("count") >= min_count)
+    every = place.select("name", "tier", F.explode("stems").alias("stem"))
+    stems = every.filter((F.length("stem") >= min_len) & ~F.col("stem").contains(" "))
+    # A token is known if a stem of a place found in its message starts it, or shares its
+    # first ``min_len`` letters: in either case the stem's first letters start the token.
+    named = with_mentions(df.select(*key, text), key, text, place).select(*key, F.explode(names(F.col("mentions"))).alias("name"))
+    heads = named.join(every, "name").groupBy(*key).agg(F.collect_set(F.left("stem", F.lit(min_len))).alias("known"))
+    tokens = df.select(*key, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("tokens")).filter(F.size("tokens") > 0)
+
+    def new(token: Column, known: Column) -> Column:
+        low = F.lower(token)
+        return ~F.coalesce(F.arrays_overlap(F.array(*[F.left(low, F.lit(i)) for i in range(1, min_len + 1)]), known), F.lit(False))
+
+    left_over = tokens.join(heads, list(key), "left").select(F.explode(F.filter("tokens", lambda t: new(t, F.col("known")))).alias("token"))
+    words = left_over.groupBy("token", F.lower("token").alias("low")).agg(F.count("*").alias("count")).filter(F.col("count") >= min_count)
 
     def dropped(c: Column) -> Column:
         cuts = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(
             F.left(c, i - 1), F.substring(c, i + 1, F.length(c))))
         return F.array_union(F.array(c), cuts)
 
-    heads = words.withColumn("size", F.explode(F.sequence(F.lit(min_len), F.least(F.length("low") + 1, F.lit(max_len)))))
-    heads = heads.withColumn("prefix", F.left("low", F.col("size")))
+    # Prefixes of every length that a stem has; the lengths are few whatever the dictionary.
+    lengths = stems.agg(F.collect_set(F.length("stem")).alias("lengths"))
+    heads = words.crossJoin(F.broadcast(lengths)).withColumn("size", F.explode(F.filter("lengths", lambda n: n <= F.length("low") + 1)))
+    heads = heads.drop("lengths").withColumn("prefix", F.left("low", F.col("size")))
     near = heads.withColumn("v", F.explode(dropped(F.col("prefix")))).join(
         stems.withColumn("size", F.length("stem")).withColumn("v", F.explode(dropped(F.col("stem")))),
         ["size", "v"]).drop("v").distinct()

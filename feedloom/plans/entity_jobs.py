@@ -48,12 +48,12 @@ place AS (SELECT name, CAST(h % 5 AS INTEGER) AS tier, CASE WHEN h % 11 = 0 THEN
  UNION ALL SELECT 'phrase_' || item_id, CAST(item_id % 5 AS INTEGER), a || ' ' || substr(b, 1, greatest(length(b) - 1, 1)), false, false, false, false FROM b0 WHERE a <> '')"""
 MATCH = f"""ws AS (SELECT message_id, string_split_regex({sq_flatten('text')}, '[ \\-]+') AS ws FROM posts),
 t1 AS (SELECT message_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS k FROM ws),
-tok AS (SELECT *, lead(w) OVER (PARTITION BY message_id ORDER BY k) AS w2 FROM t1),
+hw AS (SELECT w, place.* FROM (SELECT DISTINCT w FROM t1) JOIN place ON starts_with(w, string_split(stem, ' ')[1])),
 matches AS (
-  SELECT message_id, k AS s, k + 1 AS e, length(stem) AS len, name, tier, landmark, origin, ambiguous FROM tok JOIN place ON substr(w, 1, 3) = substr(stem, 1, 3)
-  WHERE NOT contains(stem, ' ') AND CASE WHEN exact THEN w = stem ELSE starts_with(w, stem) END
-  UNION ALL SELECT message_id, k, k + 2, length(stem), name, tier, landmark, origin, ambiguous FROM tok JOIN place ON w = string_split(stem, ' ')[1]
-  WHERE contains(stem, ' ') AND starts_with(w2, string_split(stem, ' ')[2]))"""
+  SELECT message_id, k AS s, k + len(p) AS e, length(stem) AS len, name, tier, landmark, origin, ambiguous
+  FROM (SELECT *, string_split(stem, ' ') AS p FROM hw) JOIN t1 USING (w) JOIN ws USING (message_id)
+  WHERE k + len(p) <= len(ws) AND list_slice(ws, k + 1, k + len(p) - 1) = list_slice(p, 1, -2)
+    AND CASE WHEN exact THEN ws[k + len(p)] = p[-1] ELSE starts_with(ws[k + len(p)], p[-1]) END)"""
 MENTIONS = """c0 AS (SELECT message_id, list({'s': s, 'e': e, 'name': name, 'tier': tier, 'landmark': landmark, 'origin': origin, 'ambiguous': ambiguous} ORDER BY len DESC, s, name) AS c FROM matches GROUP BY message_id),
 m0 AS (SELECT message_id, list_reduce(list_transform(c, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda t: x[1].s < t.e AND x[1].e > t.s)) > 0 THEN a ELSE list_concat(a, x) END) AS mentions FROM c0),
 m AS (SELECT ws.message_id, ws.ws, coalesce(mentions, []) AS mentions FROM ws LEFT JOIN m0 USING (message_id)),
@@ -63,7 +63,7 @@ _ds = "list_distinct(list_transform(mentions, lambda x: x.name))"
 
 
 def mentioned(spark, d):
-    return en.with_mentions(posts(spark, d), KEY, "text", dictionary(spark, d), key_len=5)
+    return en.with_mentions(posts(spark, d), KEY, "text", dictionary(spark, d))
 
 
 @query("g01_expand_stems", sql("""
@@ -75,11 +75,41 @@ def g01(spark, d):
 
 @query("g02_stem_matches", sql("SELECT message_id, CAST(s AS BIGINT) AS start_word, CAST(e AS BIGINT) AS end_word, name, len AS stem_len FROM matches", POSTS, PLACE, MATCH))
 def g02(spark, d):
-    return en.stem_matches(posts(spark, d), KEY, "text", dictionary(spark, d), key_len=5).select(
+    return en.stem_matches(posts(spark, d), KEY, "text", dictionary(spark, d)).select(
         "message_id", F.col("start").cast("long").alias("start_word"), F.col("end").cast("long").alias("end_word"), "name",
         F.col("stem_len").cast("long").alias("stem_len"))
 
 
+SHAPES = """b1 AS (SELECT item_id, string_split_regex(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' +') AS w FROM benchmark),
+place AS (SELECT 'n' || item_id || '_' || k AS name, k AS tier, array_to_string(w[1:k], ' ') AS stem, false AS landmark, false AS origin, false AS ambiguous, item_id % 3 = 0 AS exact
+   FROM b1, unnest(range(1, 6)) AS r(k) WHERE len(w) >= k
+ UNION ALL SELECT 's' || item_id || '_' || n, 0, substr(array_to_string(w, ''), 1, n), false, false, false, false FROM b1, unnest(range(2, 31)) AS r(n) WHERE length(array_to_string(w, '')) >= n AND n >= 2 + item_id % 7)"""
+
+
+def shapes(spark, d):
+    """Stems of one to five words, and stems of two to thirty letters."""
+    w = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")), " +")
+    b = table(spark, d, "benchmark").select("item_id", w.alias("w"))
+    i, no = F.col("item_id").cast("string"), F.lit(False)
+
+    def rows(df, name, tier, stem, exact):
+        return df.select(
+            name.alias("name"), tier.cast("int").alias("tier"), F.array(stem).alias("stems"), no.alias("landmark"), no.alias("origin"),
+            no.alias("ambiguous"), exact.alias("exact"))
+
+    wide = b.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(5), F.size("w")))))
+    run = F.array_join("w", "")
+    long = b.withColumn("n", F.explode(F.sequence(F.lit(2), F.lit(30)))).filter((F.length(run) >= F.col("n")) & (F.col("n") >= 2 + F.col("item_id") % 7))
+    return rows(wide, F.concat(F.lit("n"), i, F.lit("_"), "k"), F.col("k"), F.array_join(F.slice("w", 1, F.col("k")), " "), F.col("item_id") % 3 == 0).unionByName(
+        rows(long, F.concat(F.lit("s"), i, F.lit("_"), "n"), F.lit(0), F.left(run, F.col("n")), no))
+
+
+@query("g02_stem_shapes", sql("""SELECT name, count(*) AS found, CAST(sum(s) AS BIGINT) AS starts, CAST(sum(e - s) AS BIGINT) AS words FROM matches GROUP BY name""", POSTS, SHAPES, MATCH))
+def g02_shapes(spark, d):
+    return en.stem_matches(posts(spark, d), KEY, "text", shapes(spark, d)).groupBy("name").agg(
+        F.count("*").alias("found"), F.sum("start").cast("long").alias("starts"), F.sum(F.col("end") - F.col("start")).cast("long").alias("words"))
+
+
 @query("g03_place_spans", sql("SELECT message_id, CAST(s AS BIGINT) AS start_word, CAST(e AS BIGINT) AS end_word, name FROM sp", *ENT))
 def g03(spark, d):
     return mentioned(spark, d).select("message_id", F.explode("mentions").alias("m")).select(
@@ -342,14 +372,15 @@ def sq_keyboard(a, b):
 
 @query("g15_typo_candidates", sql(f"""
 , f AS (SELECT message_id, unnest(regexp_extract_all(text, '\\p{{Lu}}[\\p{{Ll}}''\\-]{{4,}}')) AS token FROM posts),
-known AS (SELECT DISTINCT message_id, substr(stem, 1, 5) AS head FROM sp JOIN stems USING (name)),
-u AS (SELECT token, lower(token) AS low, count(*) AS n FROM f WHERE (message_id, substr(lower(token), 1, 5)) NOT IN (SELECT message_id, head FROM known) GROUP BY 1, 2 HAVING count(*) >= 2),
+known AS (SELECT message_id, list(DISTINCT stem) AS ks FROM sp JOIN place USING (name) GROUP BY 1),
+u AS (SELECT token, lower(token) AS low, count(*) AS n FROM f LEFT JOIN known USING (message_id)
+  WHERE len(list_filter(coalesce(ks, []), lambda x: starts_with(lower(token), x) OR starts_with(x, substr(lower(token), 1, 5)))) = 0 GROUP BY 1, 2 HAVING count(*) >= 2),
 x AS (SELECT token, n, name, tier, stem, substr(low, 1, length(stem)) AS prefix, levenshtein(translate(substr(low, 1, length(stem)), '{_ACC}', '{_ASC}'), translate(stem, '{_ACC}', '{_ASC}')) AS dist FROM u, stems
       WHERE length(low) >= length(stem) - 1),
 g AS (SELECT token, n, min(dist) AS d, arg_min({{'name': name, 'stem': stem, 'tier': tier, 'prefix': prefix}}, (dist, name, stem)) AS b FROM x WHERE dist <= 1 GROUP BY 1, 2)
 SELECT token, n AS count, b.name AS suggests, b.stem AS stem, b.tier AS tier, {sq_keyboard('b.prefix', 'b.stem')} AS keyboard FROM g WHERE d = 1""", *ENT, SQL_STEMS))
 def g15(spark, d):
-    return en.typo_candidates(posts(spark, d), KEY, "text", dictionary(spark, d), min_count=2, key_len=5)
+    return en.typo_candidates(posts(spark, d), KEY, "text", dictionary(spark, d), min_count=2)
 
 
 @query("g16_keyboard_slip", f"""
@@ -358,7 +389,7 @@ p AS (SELECT a, translate(substr(a, 1, 1), 'abcdefghijklmnopqrstuvwxyz', 'qvxswd
 SELECT a, b, {sq_keyboard('a', 'b')} AS slip FROM p""")
 def g16(spark, d):
     w = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("a")).distinct()
-    b = F.concat(F.translate(F.substring("a", 1, 1), "abcdefghijklmnopqrstuvwxyz", "qvxswdfgujkonbiptarzyceqtx"), F.substring("a", 2, 1000000))
+    b = F.concat(F.translate(F.substring("a", 1, 1), "abcdefghijklmnopqrstuvwxyz", "qvxswdfgujkonbiptarzyceqtx"), F.substring("a", 2, F.length("a")))
     return w.withColumn("b", b).select("a", "b", en.keyboard_slip(F.col("a"), F.col("b")).alias("slip"))
 
 
@@ -386,8 +417,8 @@ def ge5(spark, d):
     own = n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("name"),
                    F.array(F.concat(F.lit("supplier#0000000"), (F.col("n_nationkey") % 10).cast("string"))).alias("stems"),
                    (F.col("n_nationkey") % 3).alias("k"))
-    extra = n.limit(1).select(F.lit("Supplier#000000007").alias("name"), F.array(F.lit("000007")).alias("stems"), F.lit(0).alias("k")).unionByName(
-        n.limit(1).select(F.lit("Absent").alias("name"), F.array(F.lit("nothing like it")).alias("stems"), F.lit(1).alias("k")))
+    extra = spark.range(1).select(F.lit("Supplier#000000007").alias("name"), F.array(F.lit("000007")).alias("stems"), F.lit(0).alias("k")).unionByName(
+        spark.range(1).select(F.lit("Absent").alias("name"), F.array(F.lit("nothing like it")).alias("stems"), F.lit(1).alias("k")))
     place = own.unionByName(extra).select("name", "stems", F.when(F.col("k") == 0, 60.0).when(F.col("k") == 1, 160.0).otherwise(1200.0).alias("limit_km"))
     hand = own.filter("name = 'N6'").select("name", F.lit(50.5).alias("lat"), F.lit(30.25).alias("lon"))
     poi = points(spark, d).withColumn("osm", F.col("name"))

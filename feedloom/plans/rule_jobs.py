@@ -25,12 +25,12 @@ def lines(spark, d):
 LINES = "lines AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS text FROM documents)"
 MENTIONS = f"""ws AS (SELECT doc_id, line, string_split_regex({sq_flatten('text')}, '[ \\-]+') AS ws FROM lines),
 t1 AS (SELECT doc_id, line, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS k FROM ws),
-tok AS (SELECT *, lead(w) OVER (PARTITION BY doc_id, line ORDER BY k) AS w2 FROM t1),
+hw AS (SELECT w, place.* FROM (SELECT DISTINCT w FROM t1) JOIN place ON starts_with(w, string_split(stem, ' ')[1])),
 matches AS (
-  SELECT doc_id, line, k AS s, k + 1 AS e, length(stem) AS len, name, tier, landmark, origin, ambiguous FROM tok JOIN place ON substr(w, 1, 3) = substr(stem, 1, 3)
-  WHERE NOT contains(stem, ' ') AND CASE WHEN exact THEN w = stem ELSE starts_with(w, stem) END
-  UNION ALL SELECT doc_id, line, k, k + 2, length(stem), name, tier, landmark, origin, ambiguous FROM tok JOIN place ON w = string_split(stem, ' ')[1]
-  WHERE contains(stem, ' ') AND starts_with(w2, string_split(stem, ' ')[2])),
+  SELECT doc_id, line, k AS s, k + len(p) AS e, length(stem) AS len, name, tier, landmark, origin, ambiguous
+  FROM (SELECT *, string_split(stem, ' ') AS p FROM hw) JOIN t1 USING (w) JOIN ws USING (doc_id, line)
+  WHERE k + len(p) <= len(ws) AND list_slice(ws, k + 1, k + len(p) - 1) = list_slice(p, 1, -2)
+    AND CASE WHEN exact THEN ws[k + len(p)] = p[-1] ELSE starts_with(ws[k + len(p)], p[-1]) END),
 c0 AS (SELECT doc_id, line, list({{'s': s, 'e': e, 'name': name, 'tier': tier, 'landmark': landmark, 'origin': origin, 'ambiguous': ambiguous}} ORDER BY len DESC, s, name) AS c FROM matches GROUP BY 1, 2),
 m0 AS (SELECT doc_id, line, list_reduce(list_transform(c, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda t: x[1].s < t.e AND x[1].e > t.s)) > 0 THEN a ELSE list_concat(a, x) END) AS mentions FROM c0),
 sp AS (SELECT doc_id, line, unnest(mentions, recursive := true) FROM m0),
@@ -43,7 +43,7 @@ FULL = (PLACE, LINES, MENTIONS)
 
 
 def mentioned_lines(spark, d):
-    return en.with_mentions(lines(spark, d), KEY, "text", dictionary(spark, d), key_len=5)
+    return en.with_mentions(lines(spark, d), KEY, "text", dictionary(spark, d))
 
 
 # --- the same evaluation written in SQL ---------------------------------------
