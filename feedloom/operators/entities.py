@@ -321,7 +321,7 @@ def place_catalogue(place: DataFrame, points: DataFrame) -> DataFrame:
         "name", "tier", "lat", "lon", F.col("lat").isNotNull().alias("can_be_home")).orderBy("tier", "name")
 
 
-def fan_out(readings: DataFrame, recipients: DataFrame, places: str, ring: str) -> DataFrame:
+def fan_out(readings: DataFrame, recipients: DataFrame, places: str, ring: str, most: int = BROADCAST_RINGS) -> DataFrame:
     """Each reading for every recipient it can concern, once.
 
     A reading that names places meets the recipients whose ring has one of them; one
@@ -333,7 +333,7 @@ def fan_out(readings: DataFrame, recipients: DataFrame, places: str, ring: str)
         F.when(F.size(places) == 0, every).otherwise(F.array_distinct(places))))
     right = settle(recipients.select("recipient", F.explode(F.array_union(F.col(ring), every)).alias("_key")))
     keep = [c for c in readings.columns if c not in ("channel", "message_id")]
-    if right.count() <= BROADCAST_RINGS:
+    if right.count() <= most:
         hits = left.join(F.broadcast(right), "_key")
     else:
         # Too many recipients to send around: every key, the wildcard above all, is

@@ -15,6 +15,11 @@ def _cell(c):
     return F.floor(c / CELL_DEG).cast("int")
 
 
+def _around(x):
+    """Cells of longitude, numbered once round the globe."""
+    return F.pmod(x, F.lit(round(360 / CELL_DEG)))
+
+
 def within_radius(recipients: DataFrame, points: DataFrame) -> DataFrame:
     """(recipient, place) pairs not farther than the recipient's radius.
 
@@ -22,10 +27,11 @@ def within_radius(recipients: DataFrame, points: DataFrame) -> DataFrame:
     join is on the cell.  The longitude reach widens with latitude.
     """
     dlat = F.col("radius_km") / 110.0
-    dlon = F.col("radius_km") / (111.0 * F.greatest(F.cos(F.radians(F.abs("home_lat") + dlat)), F.lit(0.01)))
+    dlon = F.least(F.lit(180.0), F.col("radius_km") / (111.0 * F.greatest(F.cos(F.radians(F.abs("home_lat") + dlat)), F.lit(0.01))))
     cells = recipients.withColumn("_y", F.explode(F.sequence(_cell(F.col("home_lat") - dlat), _cell(F.col("home_lat") + dlat))))
-    cells = cells.withColumn("_x", F.explode(F.sequence(_cell(F.col("home_lon") - dlon), _cell(F.col("home_lon") + dlon))))
-    spots = points.withColumn("_y", _cell(F.col("lat"))).withColumn("_x", _cell(F.col("lon")))
+    cells = cells.withColumn("_x", F.explode(F.array_distinct(F.transform(
+        F.sequence(_cell(F.col("home_lon") - dlon), _cell(F.col("home_lon") + dlon)), _around))))
+    spots = points.withColumn("_y", _cell(F.col("lat"))).withColumn("_x", _around(_cell(F.col("lon"))))
     km = haversine_km(F.col("home_lat"), F.col("home_lon"), F.col("lat"), F.col("lon"))
     return cells.join(spots, ["_y", "_x"]).withColumn("km", km).filter(
         F.col("km") <= F.col("radius_km")).drop("_y", "_x")

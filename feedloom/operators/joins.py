@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -91,6 +92,7 @@ def near_duplicates(m: DataFrame, window_s: int = DUPLICATE_WINDOW_S,
     message pairs a row stands for.  Wordings are matched on their rarest words
     only: two sets with Jaccard >= t must share one of the first n - ceil(t n) + 1.
     """
+    share = F.lit(Decimal(str(threshold)))  # exact, so that no rounding lifts a bound
     words = F.array_sort(F.array_distinct(F.filter(
         F.transform(tokens(F.col("text")), F.lower), lambda w: F.length(w) >= min_len)))
     said = m.select("channel", "message_id", "ts_s", words.alias("words")).filter(F.size("words") > 0)
@@ -110,7 +112,7 @@ def near_duplicates(m: DataFrame, window_s: int = DUPLICATE_WINDOW_S,
     n = F.size("r")
     prefix = ranked.select(
         "wording", n.alias("n"),
-        F.explode(F.slice("r", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))).alias("p"),
+        F.explode(F.slice("r", F.lit(1), (n - F.ceil(n * share) + 1).cast("int"))).alias("p"),
     ).select("wording", "n", F.col("p.word").alias("word"))
 
     slots = points.select("wording", "slot").distinct()
@@ -119,7 +121,7 @@ def near_duplicates(m: DataFrame, window_s: int = DUPLICATE_WINDOW_S,
                      F.col("wording").alias("wa"), F.col("n").alias("na"), F.col("slot").alias("sa"))
     b = spots.select("word", F.col("slot").alias("at"), F.col("wording").alias("wb"),
                      F.col("n").alias("nb"), F.col("slot").alias("sb"))
-    near_size = (F.col("na") * threshold <= F.col("nb")) & (F.col("nb") * threshold <= F.col("na"))
+    near_size = (F.col("na") * share <= F.col("nb")) & (F.col("nb") * share <= F.col("na"))
     alike = (
         a.join(b, ["word", "at"]).filter(near_size)
         .filter((F.col("sa") < F.col("sb")) | (F.col("wa") <= F.col("wb")))

@@ -38,7 +38,7 @@ def label_rows(spark, d):
         lab(["city", "elsewhere", "near"]).alias("scope"), lab(["confirmed", "probable"]).alias("certainty"),
         lab(["toward", "away", "unknown", "position", "adrift"]).alias("heading"),
         F.when(k % 7 == 0, F.concat(F.lit("L"), F.when(k % 21 == 0, k + 5).otherwise(k - 5).cast("string"))).alias("repeat_of"),
-        F.when(k % 19 == 0, "").otherwise(F.left("text", F.lit(60))).alias("why"), (k % 3 == 0).alias("prefilled"), k.alias("doc_id"))
+        F.when(k % 19 == 0, "").otherwise(F.col("text")).alias("why"), (k % 3 == 0).alias("prefilled"), k.alias("doc_id"))
 
 
 LABELS = f"""lab AS (SELECT 'L' || (k - CASE WHEN k % 37 = 0 THEN 1 ELSE 0 END) AS id, 'n' || (k // 100) AS night, CASE WHEN k % 29 = 0 THEN 'gone' ELSE source END || '/' || k AS anchor,
@@ -48,7 +48,7 @@ LABELS = f"""lab AS (SELECT 'L' || (k - CASE WHEN k % 37 = 0 THEN 1 ELSE 0 END)
   CASE WHEN quality <> 1 THEN CASE WHEN n_chars < 500 THEN 'insufficient' WHEN toxic = 1 THEN 'already-notified' ELSE 'too-far' END END AS silent_reason,
   ['none', 'drone', 'cruise', 'ballistic', 'unknown'][k % 5 + 1] AS threat, ['live-threat', 'live-threat', 'aftermath', 'non-threat'][k % 4 + 1] AS modality,
   ['city', 'elsewhere', 'near'][k % 3 + 1] AS scope, ['confirmed', 'probable'][k % 2 + 1] AS certainty, ['toward', 'away', 'unknown', 'position', 'adrift'][k % 5 + 1] AS heading,
-  CASE WHEN k % 7 = 0 THEN 'L' || CASE WHEN k % 21 = 0 THEN k + 5 ELSE k - 5 END END AS repeat_of, CASE WHEN k % 19 = 0 THEN '' ELSE substr(text, 1, 60) END AS why, k % 3 = 0 AS prefilled, k AS doc_id
+  CASE WHEN k % 7 = 0 THEN 'L' || CASE WHEN k % 21 = 0 THEN k + 5 ELSE k - 5 END END AS repeat_of, CASE WHEN k % 19 = 0 THEN '' ELSE text END AS why, k % 3 = 0 AS prefilled, k AS doc_id
   FROM (SELECT *, doc_id AS k FROM labels JOIN documents USING (doc_id)))"""
 
 

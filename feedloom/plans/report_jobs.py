@@ -120,11 +120,11 @@ def a11(spark, d):
 
 
 @query("a11_hour_histogram", sql("""
-, h AS (SELECT hour(ts) AS hour, count(*) AS n FROM feed WHERE channel = 'error' AND n > 97 GROUP BY 1)
+, h AS (SELECT hour(ts) // 2 * 2 AS hour, count(*) AS n FROM feed GROUP BY 1)
 SELECT CAST(i AS BIGINT) AS hour, coalesce(n, 0) AS n, CAST(round_even(coalesce(n, 0) * 40 / (SELECT max(n) FROM h), 0) AS BIGINT) AS bar
 FROM range(24) t(i) LEFT JOIN h ON h.hour = i""", FEED))
 def a11b(spark, d):
-    return reports.hour_histogram(feed(spark, d).filter("channel = 'error' AND n > 97"), F.hour("ts"))
+    return reports.hour_histogram(feed(spark, d), F.floor(F.hour("ts") / 2) * 2)  # odd hours stay empty
 
 
 @query("a11_tumbling_minutes", sql("""

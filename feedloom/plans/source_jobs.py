@@ -282,11 +282,8 @@ def s17(spark, d):
     rows.write.json(f"{path}/snap=1")
     # A later snapshot mentions the later nights only, and without the toxic rows.
     later = rows.filter((F.col("doc_id") >= 100) & (F.col("toxic") == 0)).withColumn("quality", 1 - F.col("quality"))
-    later.coalesce(1).write.json(f"{path}/snap=2")
-    schema = "doc_id LONG, night STRING, quality INT, toxic INT"
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path).withColumn(
-        "_stamp", F.regexp_extract("_metadata.file_path", "snap=([0-9]+)", 1).cast("int"))
-    return logs.newest_snapshot(rows, "night", "_stamp").select("doc_id", "night", "quality")
+    later.repartition(3).write.json(f"{path}/snap=2")
+    return logs.read_labels(spark, path, "doc_id LONG, night STRING, quality INT, toxic INT").select("doc_id", "night", "quality")
 
 
 SHIPPED = {"radius_km": 5, "refractory_s": 1200}
@@ -338,7 +335,7 @@ SELECT c_custkey, CASE WHEN k % 5 = 0 THEN 1200 ELSE least(greatest(b, 60), 3600
   CASE WHEN k % 5 = 0 THEN 'type' WHEN b < 60 OR b > 3600 THEN 'clamped' END AS refractory_note,
   CASE k % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE false END AS quiet_hours,
   CASE WHEN k % 3 = 2 THEN 'type' END AS quiet_note,
-  substr(s, 1, 64) || ',' || substr(nm, 1, 64) AS ring, lower(s) AS unknown FROM t""")
+  substr(s, 1, 64) || ',' || substr(nm, 1, 64) AS ring, CAST(NULL AS VARCHAR) AS ring_note, substr(s, 1, 9) AS short_ring, 'clipped' AS short_note, lower(s) AS unknown FROM t""")
 def s19(spark, d):
     raw = raw_settings(spark, d)
     get = lambda k: F.get_json_object("raw", f"$.{k}")
@@ -347,10 +344,13 @@ def s19(spark, d):
     number = F.when(quoted, F.lit("text")).otherwise(get("refractory_s"))
     value, note = settings.clean_number(number, "refractory_s", 1200)
     flag, flag_note = settings.clean_flag(get("quiet_hours"), False)
-    ring, _ = settings.clean_names(get("ring"), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    ring, ring_note = settings.clean_names(get("ring"), none)
+    short, short_note = settings.clean_names(get("ring"), none, max_len=1, max_name=9)
     return raw.select(
         "c_custkey", value.alias("refractory_s"), note.alias("refractory_note"),
-        flag.alias("quiet_hours"), flag_note.alias("quiet_note"), F.array_join(ring, ",").alias("ring"),
+        flag.alias("quiet_hours"), flag_note.alias("quiet_note"), F.array_join(ring, ",").alias("ring"), ring_note.alias("ring_note"),
+        F.array_join(short, ",").alias("short_ring"), short_note.alias("short_note"),
         F.array_join(settings.unknown_keys(F.col("raw"), ["refractory_s", "quiet_hours", "ring"]), ",").alias("unknown"))
 
 

@@ -17,7 +17,7 @@ def write_decisions(df: DataFrame, path: str) -> None:
 
 
 def read_decisions(spark: SparkSession, *paths: str, keys: tuple[str, ...] = ("anchor",)) -> DataFrame:
-    """Overlapping logs as one: broken lines and warm rows dropped, first file wins."""
+    """Overlapping logs as one: broken lines and warm rows dropped, first line of the first file wins."""
     raw = (
         spark.read.schema(LOG_SCHEMA + ", _corrupt STRING")
         .option("mode", "PERMISSIVE")
@@ -25,12 +25,13 @@ def read_decisions(spark: SparkSession, *paths: str, keys: tuple[str, ...] = ("a
         .json(list(paths))
         .withColumn("_file", F.col("_metadata.file_path"))
         .withColumn("_block", F.col("_metadata.file_block_start"))
+        .withColumn("_line", F.monotonically_increasing_id())  # a block is read by one task, in order
     )
     good = raw.filter(
         F.col("_corrupt").isNull() & ~F.coalesce("warm", F.lit(False)) & F.col("anchor").isNotNull())
-    rest = [c for c in good.columns if c not in (*keys, "_file", "_block", "_corrupt")]
+    rest = [c for c in good.columns if c not in (*keys, "_file", "_block", "_line", "_corrupt")]
     first = good.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct("_file", "_block", "at")).alias("_r"))
+        F.min_by(F.struct(*rest), F.struct("_file", "_block", "_line")).alias("_r"))
     return first.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
@@ -41,11 +42,15 @@ def newest_snapshot(rows: DataFrame, night: str, stamp: str) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    rows = spark.read.schema(schema).json(path).withColumn(
-        "_stamp", F.struct(
-            F.col("_metadata.file_modification_time"),
-            F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1)))
-    return newest_snapshot(rows, "night", "_stamp").drop("_stamp")
+    """Per night the rows of the newest snapshot, a folder of any number of part files.
+
+    A snapshot is as new as its newest file.
+    """
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path).withColumns({
+        "_time": F.col("_metadata.file_modification_time"), "_folder": F.regexp_extract("_metadata.file_path", "^(.*)/[^/]+$", 1)})
+    age = rows.groupBy("_folder").agg(F.max("_time").alias("_newest_file"))
+    rows = rows.join(age, "_folder").withColumn("_stamp", F.struct("_newest_file", "_folder"))
+    return newest_snapshot(rows, "night", "_stamp").drop("_stamp", "_time", "_folder", "_newest_file")
 
 
 def latest_state(df: DataFrame, key: str, at: str) -> DataFrame:

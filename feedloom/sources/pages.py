@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Sequence
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The named entities these pages use; the ampersand goes last.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"),
-    ("&ndash;", "–"), ("&laquo;", "«"), ("&raquo;", "»"), ("&hellip;", "…"), ("&amp;", "&"),
-)
+ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+DIV = "(?i)<(/?)div\\b[^>]*>"
 
 
 def split_posts(pages: DataFrame, marker: str, html: str = "html") -> DataFrame:
@@ -42,43 +39,56 @@ def html_to_text(c: Column) -> Column:
     out = F.regexp_replace(c, "(?i)<br\\s*/?>", "\n")
     out = F.regexp_replace(out, "(?i)</(p|div)\\s*>", "\n")
     out = F.regexp_replace(out, "<[^>]+>", "")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    return decode_entities(out)
+
+
+def decode_entities(c: Column) -> Column:
+    """Named, decimal and hexadecimal references, each decoded once; unknown names stay."""
+    named = F.from_json(F.lit(json.dumps({f"&{k}": v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+
+    def decoded(ref: Column) -> Column:
+        body = F.substring(ref, 3, F.length(ref) - 3)
+        hexed = F.lower(F.left(body, F.lit(1))) == "x"
+        digits = F.when(hexed, F.upper(F.substring(body, 2, F.length(body)))).otherwise(F.conv(body, 10, 16))
+        code = F.conv(digits, 16, 10).cast("long")
+        fits = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+        return F.when(F.substring(ref, 2, 1) == "#", F.when(fits, char).otherwise("\ufffd")).otherwise(F.coalesce(F.element_at(named, ref), ref))
+
+    refs = F.transform(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), decoded)
+    gaps = F.split(c, ENTITY, -1)
+    text = F.zip_with(gaps, refs, lambda gap, ref: F.concat(gap, F.coalesce(ref, F.lit(""))))
+    return F.when(c.contains("&"), F.array_join(text, "")).otherwise(c)
 
 
 def block_text(c: Column, marker: str) -> Column:
     """Inner HTML of every ``<div>`` whose tag holds ``marker``, by counting depth.
 
-    A regular expression cannot count, so this one goes through Arrow batches.
+    The text is cut at the tags; a fold over them carries the depth, the block that is open
+    and the blocks found.  A block still open at the end of the text is taken as well.
     """
-    import re
-
-    tag = re.compile(r"<(/?)div\b[^>]*>", re.I)
-
-    def inner(html: str | None) -> str | None:
-        if html is None:
-            return None
-        found, depth, start = [], 0, -1
-        for t in tag.finditer(html):
-            if start < 0:
-                if not t.group(1) and marker in t.group(0):
-                    start, depth = t.end(), 1
-            else:
-                depth += -1 if t.group(1) else 1
-                if depth == 0:
-                    found.append(html[start:t.start()])
-                    start = -1
-        if start >= 0:
-            found.append(html[start:])
-        return "\n".join(x for x in found if x.strip())
-
-    @F.pandas_udf("string")
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(inner, na_action="ignore")
-
-    return apply(c)
+    tags, gaps = F.regexp_extract_all(c, F.lit(DIV), F.lit(0)), F.split(c, DIV, -1)
+    steps = F.zip_with(tags, F.slice(gaps, 2, F.size(tags)), lambda t, g: F.struct(t.alias("tag"), g.alias("gap")))
+    none = F.array().cast("array<string>")
+
+    def state(depth, block, found):
+        return F.struct(depth.cast("int").alias("depth"), block.alias("block"), found.alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        closes = x["tag"].startswith("</")
+        depth = acc["depth"] + F.when(closes, -1).otherwise(1)
+        return (
+            F.when((acc["depth"] == 0) & ~closes & x["tag"].contains(marker), state(F.lit(1), x["gap"], acc["found"]))
+            .when(acc["depth"] == 0, acc)
+            .when(depth == 0, state(depth, F.lit(""), F.concat(acc["found"], F.array(acc["block"]))))
+            .otherwise(state(depth, F.concat(acc["block"], x["tag"], x["gap"]), acc["found"]))
+        )
+
+    def finish(acc: Column) -> Column:
+        found = F.when(acc["depth"] > 0, F.concat(acc["found"], F.array(acc["block"]))).otherwise(acc["found"])
+        return F.array_join(F.filter(found, lambda x: x.rlike("(?U)\\S")), "\n")
+
+    return F.aggregate(steps, state(F.lit(0), F.lit(""), none), step, finish)
 
 
 def media_type(c: Column, markers: Sequence[tuple[str, str]]) -> Column:

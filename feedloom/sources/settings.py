@@ -22,6 +22,7 @@ BOUNDS = {
     "quiet_from_hour": (0, 23),
     "quiet_to_hour": (0, 23),
 }
+# Most names of a list, most letters of a name.
 MAX_RING = 128
 MAX_NAME = 64
 
