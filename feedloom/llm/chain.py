@@ -13,7 +13,7 @@ SLOTS = 1 << 18
 PREFIXES = (5, 6, 7, 8)
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 WORD = re.compile(r"\S+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.02, 12.0  # of a feature that marks offending words
 
 
@@ -113,17 +113,22 @@ class Chain:
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
 
-    def odds(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = float(np.exp(np.clip(self.bias + self.weights[slots(w)].sum(), -30, 30)))
-        return np.array([known[w] for w in words])
+    def _learn(self, words: list[str]) -> None:
+        """Emission odds of new words, all at once."""
+        found = [slots(w) for w in words]
+        flat = np.fromiter((f for x in found for f in x), np.int64)
+        heads = np.cumsum([0] + [len(x) for x in found[:-1]])
+        total = np.add.reduceat(self.weights[flat].astype(np.float64), heads)
+        self.known.update(zip(words, np.exp(np.clip(self.bias + total, -30, 30)).tolist()))
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
-        return forward_backward([self.odds(w) for w in texts], self.step)
+        known, every = self.known, set().union(*texts)
+        if len(known) + len(every) > CACHE_WORDS:
+            known.clear()
+        new = [w for w in every if w not in known]
+        if new:
+            self._learn(new)
+        return forward_backward([np.array([known[w] for w in t]) for t in texts], self.step)
 
     @staticmethod
     def summary(p: np.ndarray) -> tuple[float, float, float]:
