@@ -6,14 +6,12 @@ verdict (``d``), and returns the field's new value; no update sees another's res
 
 from __future__ import annotations
 
-from types import SimpleNamespace
-
 from .rulebook import CITY, CLASSES, FAR, NOWHERE, OBLAST, RING, RUNG, Verdict
 
 UNPLACED_S = 120  # a launch nobody has placed cannot have arrived sooner
 
 
-def line_key(v: SimpleNamespace, code: str) -> str:
+def line_key(v, code: str) -> str:
     return "|".join([code, v.eff or "", ",".join(sorted(v.places)), str(v.scope)])
 
 
@@ -118,11 +116,11 @@ def fresh_episode(ts: int) -> dict:
     return fresh(EPISODE) | {"opened": ts, "live_at": ts}
 
 
-def updated(fields: dict, before: dict, v: SimpleNamespace, d: Verdict) -> dict:
+def updated(fields: dict, before: dict, v, d: Verdict) -> dict:
     return before | {k: new(before, v, d) for k, (_, new) in fields.items()}
 
 
-def remember(state: dict, v: SimpleNamespace, d: Verdict) -> dict:
+def remember(state: dict, v, d: Verdict) -> dict:
     """The state after the row: an accepted clear ends the episode, a live row opens one."""
     after = updated(RECIPIENT, fresh(RECIPIENT) | state, v, d)
     episode = after.pop("ep", None)

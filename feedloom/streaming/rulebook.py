@@ -8,7 +8,6 @@ The first rule that holds gives the verdict.  Codes are what is stored; TEXTS sa
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from types import SimpleNamespace
 from typing import NamedTuple
 
 HOME, NEAR, CITY, OBLAST, FAR, NOWHERE = 0, 1, 2, 3, 4, 9
@@ -35,7 +34,7 @@ class Verdict(NamedTuple):
 
 
 class Rule(NamedTuple):
-    when: Callable[[SimpleNamespace], object]
+    when: Callable[[object], object]
     level: str | None = HUSH
     code: str = ""
     tone: str | None = "none"
@@ -199,7 +198,7 @@ TEXTS = {
 }
 
 
-def walk(rules: Sequence[Rule], v: SimpleNamespace) -> Verdict:
+def walk(rules: Sequence[Rule], v) -> Verdict:
     """The verdict of the first rule that holds; every table ends with one that does."""
     while True:
         hit = next(r for r in rules if r.when(v))

@@ -139,7 +139,7 @@ def test_place_and_line_memories_are_pruned():
 def test_updates_see_only_the_state_before_the_row():
     before = fresh_episode(0)
     held = {k: list(x) if isinstance(x, list) else dict(x) if isinstance(x, dict) else x for k, x in before.items()}
-    v = policy.view({"ep": before}, {**ROW, "ts_s": 5, **LAUNCH, "live": True, "at_home": False, "near": False, "in_city": True})
+    v = policy.View({"ep": before}, {**ROW, "ts_s": 5, **LAUNCH, "live": True, "at_home": False, "near": False, "in_city": True})
     updated(EPISODE, before, v, Verdict("alert", "ballistic", "launch:confirmed"))
     assert before == held
 
