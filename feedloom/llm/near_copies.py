@@ -12,6 +12,11 @@ written tables.
 Defined cases: a null or empty text has fingerprint zero and links like any other; null
 doc_id rows take part and a component's id is its smallest non-null doc_id (null if all
 are null); repeated rows are returned as often as they occur.
+
+``keep_one`` is not bound to the contract above: its groups are the components of texts whose
+sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them, each pair
+verified on the whole sets (``shingle_sets``).  Texts with equal sets are one node, so exact
+copies are compared once; nodes and shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle
+from . import shingle_sets
 from .fingerprints import signed, simhash
 from .hamming import close_pairs
 from .rows import boxed, map_texts, unboxed
@@ -32,6 +38,9 @@ from .rows import boxed, map_texts, unboxed
 LIMIT = 2
 BIG = 20_000
 CODES_AT_ONCE = 400_000  # codes of whole buckets indexed at once in a task
+LOOK = 4  # one text in so many is looked at to learn which shingles are common
+COMMON_TEXTS, COMMON_MOST = 8, 500_000  # texts of those that lead with a common shingle; longs sent to each task
+PIVOTS, MORE_PIVOTS = 4, 8  # of a crowded shingle in the first round; times as many in each round after
 
 
 def fingerprints(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -202,25 +211,110 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id.
+_NODE = T.StructType([
+    T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("lead", T.ArrayType(T.LongType()))
+])
+
+
+def _nodes(df: DataFrame, keep: list[str], common: np.ndarray, text: str = "text") -> DataFrame:
+    """``keep`` columns, the node of each text, the size of its set and its leading shingles."""
+    sc = df.sparkSession.sparkContext
+    sent = sc.broadcast(common)
+
+    def of(texts):
+        for t in texts:
+            found = shingle_sets.shingle_set(t)
+            yield shingle_sets.name(found), len(found), shingle_sets.leading(found, sent.value).view(np.int64)
+
+    return map_texts(df, text, of, _NODE, keep)
+
+
+def _folded(nodes: DataFrame) -> DataFrame:
+    """(shingle, node, n): the leading shingles of each distinct set."""
+    one = nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("lead").alias("lead"))
+    return one.select(F.explode("lead").alias("shingle"), "node", "n")
+
+
+def _common(docs: DataFrame) -> np.ndarray:
+    """Shingles that many texts lead with, sorted; they only order the others (``shingle_sets``)."""
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(LOOK)) == 0)
+    count = _folded(_nodes(some, [], np.empty(0, np.uint64))).groupBy("shingle").count().filter(F.col("count") >= COMMON_TEXTS)
+    rows = count.orderBy(F.desc("count"), "shingle").limit(COMMON_MOST).select("shingle").toArrow()
+    return np.sort(rows.column(0).to_numpy().view(np.uint64))
+
+
+def _sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, found): the whole sets of the ``wanted`` nodes, from one text of each."""
+    out = T.StructType([T.StructField("node", T.LongType()), T.StructField("found", T.BinaryType())])
+
+    def of(texts):
+        for t in texts:
+            found = shingle_sets.shingle_set(t)
+            yield shingle_sets.name(found), found.tobytes()
+
+    ids = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    made = map_texts(rows, "text", of, out, [])  # an id may stand for other texts as well
+    return settle(made.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("found").alias("found")))
+
+
+def _verify(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar."""
+    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = _sets(docs, prints, wanted)
+    a, b = (sets.select(F.col("node").alias(x), F.col("found").alias(f"{x}_set")) for x in "ab")
+    return settle(pairs.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set").mapInArrow(shingle_sets.verified, "a long, b long"))
+
+
+def similar_groups(docs: DataFrame, prints: DataFrame, all_pairs: int = shingle_sets.ALL_PAIRS) -> DataFrame:
+    """(node, root) of every node of ``prints`` that is similar to another one.
+
+    Pairs of texts that share a leading shingle are verified.  A shingle that more than
+    ``all_pairs`` nodes lead with goes through rounds: a few nodes meet all others, then
+    more of them, until all that are left lie in one group.
+    """
+    rows = _folded(prints).withColumn("root", F.col("node"))
+    pivots, edges = PIVOTS, None
+    while True:
+        met = settle(
+            rows.repartition("shingle")
+            .sortWithinPartitions("shingle", "node")
+            .select("shingle", "node", "n", "root")
+            .mapInArrow(shingle_sets.candidates(pivots, all_pairs), "a long, b long, shingle long, n long")
+        )
+        found = _verify(docs, prints, met.filter("b is not null").select("a", "b").distinct())
+        edges = found if edges is None else edges.unionAll(found)
+        roots = components(edges)
+        left = met.filter("b is null").select("shingle", F.col("a").alias("node"), "n")
+        left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = left.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+        rows = settle(left.join(open_.select("shingle"), "shingle", "left_semi"))
+        if rows.isEmpty():
+            return roots
+        pivots *= MORE_PIVOTS
+
+
+def keep_one(docs: DataFrame, all_pairs: int = shingle_sets.ALL_PAIRS) -> DataFrame:
+    """One document of each group of similar texts stays: the one with the smallest doc_id.
 
     Which row stays is settled on narrow rows; texts are read once more and joined by
-    doc_id.  Rows that share the doc_id of the one that stays are told apart by their
-    fingerprint; of rows equal in both, one stays.
+    doc_id.  Rows that share the doc_id of the one that stays are told apart by their node;
+    of rows equal in both, one stays.
     """
-    prints = settle(fingerprints(docs, ["doc_id"]))
-    group = classes(prints, limit)
-    first = (
-        prints.join(group, "code")
-        .groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "code")).alias("x"))
-        .select(F.col("x.doc_id").alias("_id"), F.col("x.code").alias("_code"), F.lit(True).alias("_keep"))
+    common = _common(docs)
+    prints = settle(_nodes(docs, ["doc_id"], common))
+    group = similar_groups(docs, prints, all_pairs)
+    first = settle(
+        prints.select("doc_id", "node")
+        .join(group, "node", "left")
+        .groupBy(F.coalesce("root", "node").alias("root"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x"))
+        .select(F.col("x.doc_id").alias("_id"), F.col("x.node").alias("_node"))
     )
     doubled = settle(prints.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")))
     rows = boxed(docs, "doc_id", "text")
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     if doubled.isEmpty():
         return unboxed(rows.join(first, same, "left_semi"))
-    coded = fingerprints(rows, ["_row", "doc_id"]).join(first, same & (F.col("code") == F.col("_code")), "left_semi")
-    return unboxed(coded.dropDuplicates(["doc_id", "code"]))
+    made = _nodes(rows, ["_row", "doc_id"], common).drop("lead")
+    return unboxed(made.join(first, same & (F.col("node") == F.col("_node")), "left_semi").dropDuplicates(["doc_id", "node"]))
