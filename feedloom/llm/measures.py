@@ -9,7 +9,7 @@ BLANKS = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 SYMBOLS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")
 UPPER = bytes(range(65, 91))
 
-FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines", "max_word")
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines", "max_word", "max_word_chars")
 
 
 def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
@@ -47,6 +47,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         return (0,) * len(FIELDS)
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
+    longest = max(words, key=len, default=b"")
     seen: set[bytes] = set()
     lines = copies = 0
     for line in raw.split(b"\n"):
@@ -64,5 +65,6 @@ def measure(text: str | None) -> tuple[int, ...]:
         repeated_words(words),
         len(raw) - len(raw.translate(None, UPPER)),
         lines,
-        max(map(len, words), default=0),
+        len(longest),
+        len(longest.decode("utf-8", "surrogatepass")),
     )

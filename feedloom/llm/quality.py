@@ -6,6 +6,15 @@ Sketches merge, so a source with few rows takes the thresholds of its language,
 language with few rows those of the whole corpus.  A document is kept if every ratio lies
 inside the fence of its own group.
 
+Quartiles say nothing about a ratio that is zero in half of the texts or more: they are all
+zero, or, with over a quarter of junk, those of the junk.  There the fence is learned from
+the values above zero (a sketch of their own, merged up like the others): NEAR_ZERO of
+their lower TAIL quantile, at least the slack, so that it lies between zero and the mode of
+the deviating texts however many a group has.  A count in a short text is uncertain: the
+symbols a text may hold are never fewer than DEVIATIONS standard deviations, and one, above
+what the slack gives for its length; and a high mean length of the words is held against a text only
+if it stays when the longest word is left out.
+
 Defined cases: a null or empty text has zero words and fails the base rules; null lang or
 source forms a group of its own; repeated rows are judged one by one; an empty table gives
 an empty result.
@@ -16,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +52,9 @@ FENCES: Mapping[str, Fence] = {
     "word_length": Fence(8, 0.5, below=True),
     "longest_word": Fence(8, 20),
 }
+ZERO_HEAVY = ("symbol_ratio", "upper_ratio", "copied_lines")  # ratios that most texts may have at zero
+TAIL, NEAR_ZERO = 0.1, 0.5
+DEVIATIONS = 3
 SKETCH_K = 4000  # rank error under 0.1 %
 MIN_ROWS = 100  # a group with fewer measured rows takes the thresholds above it
 BROADCAST_GROUPS = 50_000
@@ -75,31 +87,56 @@ def thresholds(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
         measured.groupBy("lang", "source").agg(
             F.count_if(ok).alias("n"),
             *[F.kll_sketch_agg_double(F.when(ok, F.col(c)), F.lit(SKETCH_K)).alias(c) for c in FENCES],
+            *[F.count_if(ok & (F.col(c) > 0)).alias(f"{c}_n") for c in ZERO_HEAVY],
+            *[F.kll_sketch_agg_double(F.when(ok & (F.col(c) > 0), F.col(c)), F.lit(SKETCH_K)).alias(f"{c}_some") for c in ZERO_HEAVY],
         )
     )
-    merged = [F.kll_merge_agg_double(c).alias(f"{c}_up") for c in FENCES]
-    lang = own.groupBy("lang").agg(F.sum("n").alias("n_lang"), *merged)
-    top = own.agg(F.sum("n").alias("n_all"), *[F.kll_merge_agg_double(c).alias(f"{c}_top") for c in FENCES])
+
+    def wider(level: str):
+        sketches = [*FENCES, *[f"{c}_some" for c in ZERO_HEAVY]]
+        counts = [F.sum(f"{c}_n").alias(f"{c}_n_{level}") for c in ZERO_HEAVY]
+        return [F.kll_merge_agg_double(c).alias(f"{c}_{level}") for c in sketches] + counts
+
+    lang = own.groupBy("lang").agg(F.sum("n").alias("n_lang"), *wider("up"))
+    top = own.agg(F.sum("n").alias("n_all"), *wider("top"))
     wide = (
         own.alias("g")
         .join(lang.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang")))
         .crossJoin(F.broadcast(top))  # one row
     )
 
+    def quantile(c: str, at: float, own_n, lang_n, all_n):
+        return (
+            F.when(own_n >= min_rows, F.kll_sketch_get_quantile_double(F.col(c), F.lit(at)))
+            .when(lang_n >= min_rows, F.kll_sketch_get_quantile_double(F.col(f"{c}_up"), F.lit(at)))
+            .when(all_n > 0, F.kll_sketch_get_quantile_double(F.col(f"{c}_top"), F.lit(at)))
+        )
+
     def fences(c: str, f: Fence):
-        q = [
-            F.when(F.col("n") >= min_rows, F.kll_sketch_get_quantile_double(F.col(c), F.lit(at)))
-            .when(F.col("n_lang") >= min_rows, F.kll_sketch_get_quantile_double(F.col(f"{c}_up"), F.lit(at)))
-            .when(F.col("n_all") > 0, F.kll_sketch_get_quantile_double(F.col(f"{c}_top"), F.lit(at)))
-            for at in (0.25, 0.75)
-        ]
+        rows = [F.col(n) for n in ("n", "n_lang", "n_all")]
+        q = [quantile(c, at, *rows) for at in (0.25, 0.75)]
         span = (q[1] - q[0]) * f.reach + f.slack
         low = q[0] - span if f.below else F.lit(None).cast("double")
-        return [low.alias(f"{c}_low"), (q[1] + span).alias(f"{c}_high")]
+        high = q[1] + span
+        if c in ZERO_HEAVY:
+            tail = quantile(f"{c}_some", TAIL, *[F.col(f"{c}_n{level}") for level in ("", "_up", "_top")])
+            learned = F.greatest(F.lit(f.slack), NEAR_ZERO * tail)  # no value above zero: the slack
+            high = F.when(quantile(c, 0.5, *rows) == 0, learned).otherwise(high)
+        return [low.alias(f"{c}_low"), high.alias(f"{c}_high")]
 
     return wide.select(F.col("g.lang"), F.col("g.source"), *[x for c, f in FENCES.items() for x in fences(c, f)])
 
 
+def _short(c: str, high: Column) -> Column:
+    """Whether a value above the fence may be due to few characters or words only."""
+    if c == "symbol_ratio":
+        usual = FENCES[c].slack * F.col("word_chars")
+        return F.col("n_symbols") <= usual + DEVIATIONS * F.sqrt(usual) + 1
+    if c == "word_length":
+        return F.col("word_chars") - F.col("max_word_chars") <= high * (F.col("n_words") - 1)
+    return F.lit(False)
+
+
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """``measured`` with ``kept``: false for the base rules, else inside every fence.
 
@@ -110,7 +147,7 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for c in FENCES:
         low, high = F.col(f"{c}_low"), F.col(f"{c}_high")
-        inside &= (low.isNull() | (F.col(c) >= low)) & (high.isNull() | (F.col(c) <= high))
+        inside &= (low.isNull() | (F.col(c) >= low)) & (high.isNull() | (F.col(c) <= high) | _short(c, high))
     return (
         measured.join(near, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
         .withColumn("kept", ~F.col("base_failed") & inside)
