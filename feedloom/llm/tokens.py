@@ -20,7 +20,7 @@ _ODD_KINDS = ("Zs", "Zl", "Zp", "Nl", "No", "Mn", "Mc", "Me")
 LONG_PIECE = 4096
 CACHE_WORDS = 1_200_000  # entries held by a Python worker before it starts anew
 # White space of other kinds, numbers that look like letters, and combining marks: a text
-# that holds one goes to the library whole.
+# that holds one, or the content of an added token, goes to the library whole.
 _ODD = frozenset(
     c for c in map(chr, range(sys.maxunicode + 1))
     if c in "\x00\x0b\x0c\r\x1c\x1d\x1e\x1f\x85" or c != " " and unicodedata.category(c) in _ODD_KINDS
@@ -45,7 +45,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(public_tokenizers.path(name))
-        self.lib.encode_special_tokens = True
         self.limit = cache_words
         size = self.lib.get_vocab_size(with_added_tokens=True)
         assert size <= 1 << 16
@@ -54,6 +53,7 @@ class Encoder:
         self.byte_level = not self.word_end.any()
         self.word_start = np.array([n.startswith("Ġ") for n in names])
         self.parts, self.words = _PIECES[self.byte_level], _WORDS[self.byte_level]
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -67,7 +67,7 @@ class Encoder:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
 
     def _pieces(self, text: str) -> list[str]:
-        if not _ODD.isdisjoint(text):
+        if not _ODD.isdisjoint(text) or any(a in text for a in self.added):
             return [text]
         if "'" in text or (self.byte_level and any(x in text for x in ("  ", " \n", "\n ", "\n\n", "\t"))):
             return self.words.findall(text)  # a suffix or a run of blanks: cut at white space only
