@@ -30,7 +30,7 @@ def _strings(nodes) -> list[list[str] | None]:
                 out.append(["", *inner])
             else:
                 out += [inner] * min(low, 3) if inner is not None else [None]
-                if high != low:
+                if high != low or low > 3:  # what follows is not next to the third copy
                     out.append(None)
         elif op is not sc.AT:
             out.append(None)
