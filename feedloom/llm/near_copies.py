@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 _NODE = T.StructType([
-    T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("lead", T.ArrayType(T.LongType()))
+    T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("lead", T.ArrayType(T.LongType())),
+    T.StructField("late", T.BooleanType()), T.StructField("last", T.LongType()),
 ])
 
 
@@ -224,7 +225,8 @@ def _nodes(df: DataFrame, keep: list[str], common: np.ndarray, text: str = "text
     def of(texts):
         for t in texts:
             found = shingle_sets.shingle_set(t)
-            yield shingle_sets.name(found), len(found), shingle_sets.leading(found, sent.value).view(np.int64)
+            lead = shingle_sets.leading(found, sent.value)
+            yield shingle_sets.name(found), len(found), lead.view(np.int64), *shingle_sets.end_of(lead, sent.value)
 
     return map_texts(df, text, of, _NODE, keep)
 
@@ -258,6 +260,20 @@ def _sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame) -> DataFrame:
     return settle(made.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("found").alias("found")))
 
 
+def _possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (a, b, c) that can be similar by what is known without their sets.
+
+    Of two sets, let A be the one whose leading shingles end first.  What both share up to
+    there leads both, and is in ``c`` or under a crowded shingle; of the rest A has ``rest``.
+    """
+    up, down = shingle_sets.SIMILAR
+    a, b = (facts.select([F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in facts.columns]) for x in "ab")
+    end = [F.struct(f"{x}_late", f"{x}_last") for x in "ab"]
+    rest = F.when(end[0] < end[1], F.col("a_rest")).when(end[1] < end[0], F.col("b_rest")).otherwise(F.least("a_rest", "b_rest"))
+    most = F.col("c") + F.least("a_crowd", "b_crowd") + rest
+    return pairs.join(a, "a").join(b, "b").filter((up + down) * most >= up * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+
+
 def _verify(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar."""
     wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -280,13 +296,21 @@ def similar_groups(docs: DataFrame, prints: DataFrame, all_pairs: int = shingle_
             rows.repartition("shingle")
             .sortWithinPartitions("shingle", "node")
             .select("shingle", "node", "n", "root")
-            .mapInArrow(shingle_sets.candidates(pivots, all_pairs), "a long, b long, shingle long, n long")
+            .mapInArrow(shingle_sets.candidates(pivots, all_pairs), "a long, b long, shingle long, n long, c long")
         )
-        found = _verify(docs, prints, met.filter("b is not null").select("a", "b").distinct())
+        left = met.filter("b is null").select("shingle", F.col("a").alias("node"), "n", "c")
+        pairs = met.filter("b is not null").groupBy("a", "b").agg(F.sum("c").alias("c"))
+        if edges is None:
+            first = [F.first(x).alias(x) for x in ("n", "late", "last")]
+            facts = prints.groupBy("node").agg(*first, F.first(F.col("n") - F.size("lead")).alias("rest"))
+            facts = facts.join(left.groupBy("node").agg(F.count("*").alias("crowd")), "node", "left").fillna(0, ["crowd"])
+            facts, known = settle(facts), met.select("a", "b").filter("b is not null").distinct()
+        else:  # crowded shingles only: pairs of the first round are settled, others have no more in common than those
+            pairs = pairs.join(known, ["a", "b"], "left_anti").withColumn("c", F.lit(0))
+        found = _verify(docs, prints, settle(_possible(pairs, facts)))
         edges = found if edges is None else edges.unionAll(found)
         roots = components(edges)
-        left = met.filter("b is null").select("shingle", F.col("a").alias("node"), "n")
-        left = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        left = left.filter("c = 0").drop("c").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = left.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
         rows = settle(left.join(open_.select("shingle"), "shingle", "left_semi"))
         if rows.isEmpty():
@@ -316,5 +340,5 @@ def keep_one(docs: DataFrame, all_pairs: int = shingle_sets.ALL_PAIRS) -> DataFr
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     if doubled.isEmpty():
         return unboxed(rows.join(first, same, "left_semi"))
-    made = _nodes(rows, ["_row", "doc_id"], common).drop("lead")
+    made = _nodes(rows, ["_row", "doc_id"], common).drop("lead", "late", "last")
     return unboxed(made.join(first, same & (F.col("node") == F.col("_node")), "left_semi").dropDuplicates(["doc_id", "node"]))
