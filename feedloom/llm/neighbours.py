@@ -9,8 +9,8 @@ merged by score.  Inner product becomes cosine by one more component, which lift
 vector to the greatest length found.
 
 Defined cases: vectors that are null, zero, or hold a null or non-finite component take no
-part, nor do those whose length is not the most frequent one, nor rows with a null id; a
-query without a valid vector returns nothing; rows that share an id are candidates each;
+part, nor do rows with a null id; each length has graphs of its own, which only queries of
+that length meet; a query without a valid vector returns nothing; rows that share an id are candidates each;
 equal scores go to the smaller id; an empty table gives an empty result.
 """
 
@@ -29,27 +29,23 @@ SHARD_ROWS = 8192
 QUERY_ROWS = 512
 M, REACH, SEARCH = 16, 64, 112
 
-_INDEX = "shard int, ids binary, vectors binary, dim int, sizes array<int>, links binary, nodes binary"
+_INDEX = "shard int, ids binary, vectors binary, dim int, longest double, sizes array<int>, links binary, nodes binary"
 
 
 def valid(df: DataFrame, vec: str = "embedding") -> DataFrame:
     """vec_id and v (array of double) of the rows that take part."""
     v = F.col(vec)
     ok = df.filter(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).select("vec_id", v.cast("array<double>").alias("v"))
-    ok = ok.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    usual = ok.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()  # one row
-    return ok.filter(F.size("v") == usual[0]["n"]) if usual else ok
+    return ok.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
 
 
-def _build(longest: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        g = Graph(_lift(x, longest), M, REACH)
-        row = {"shard": int(pdf["shard"].iloc[0]), "ids": pdf["node"].to_numpy(np.int64).tobytes(), "vectors": x.tobytes(), "dim": x.shape[1]}
-        return pd.DataFrame([row | g.dump()])
-
-    return run
+def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("node")
+    x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+    longest = float(pdf["longest"].iloc[0])
+    g = Graph(_lift(x, longest), M, REACH)
+    row = {"shard": int(pdf["shard"].iloc[0]), "ids": pdf["node"].to_numpy(np.int64).tobytes(), "vectors": x.tobytes(), "dim": x.shape[1], "longest": longest}
+    return pd.DataFrame([row | g.dump()])
 
 
 def _lift(x: np.ndarray, longest: float) -> np.ndarray:
@@ -60,10 +56,11 @@ def _lift(x: np.ndarray, longest: float) -> np.ndarray:
 
 def build(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The index: one row a shard, from distinct vectors (node, v)."""
-    n, longest = nodes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    shards = max(1, -(-n // shard_rows))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
-    return settle(dealt.groupBy("shard").applyInPandas(_build(longest or 1.0), _INDEX).withColumn("longest", F.lit(float(longest or 1.0))))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    widths = nodes.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / shard_rows).alias("shards"), F.max(length).alias("longest"))
+    dealt = nodes.withColumn("dim", F.size("v")).join(F.broadcast(settle(widths)), "dim")  # one row a length
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
+    return settle(dealt.groupBy("dim", "shard").applyInPandas(_build, _INDEX))
 
 
 def _search(k: int, reach: int):
@@ -77,24 +74,26 @@ def _search(k: int, reach: int):
                 for q in r.queries:
                     v = np.asarray(q["v"], np.float64)
                     near = g.search(np.append(v / np.linalg.norm(v), 0), k, reach)
-                    out += zip([q["vec_id"]] * len(near), ids[near].tolist(), (x[near] * v).sum(1).tolist())
-            yield pd.DataFrame(out, columns=["query_id", "node", "score"]).astype({"query_id": "int64", "node": "int64", "score": "float64"})
+                    out += zip([q["vec_id"]] * len(near), ids[near].tolist(), [r.dim] * len(near), (x[near] * v).sum(1).tolist())
+            kinds = {"query_id": "int64", "node": "int64", "dim": "int32", "score": "float64"}
+            yield pd.DataFrame(out, columns=list(kinds)).astype(kinds)
 
     return run
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, reach: int = SEARCH) -> DataFrame:
-    """(query_id, node, score): the ``k`` best nodes of each query (vec_id, v) over all shards."""
-    shards = [r["shard"] for r in index.select("shard").collect()]  # one number a shard
+    """(query_id, node, dim, score): the ``k`` best nodes of each query (vec_id, v) over all shards."""
+    shards = settle(index.select("dim", "shard"))  # two numbers a shard
+    n = shards.count()
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    if not shards:
-        return queries.sparkSession.createDataFrame([], "query_id long, node long, score double")
+    if not n:
+        return queries.sparkSession.createDataFrame([], "query_id long, node long, dim int, score double")
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
-    asked = queries.select(block, F.struct("vec_id", "v").alias("q")).groupBy("block").agg(F.collect_list("q").alias("queries"))  # QUERY_ROWS or so
-    asked = asked.withColumn("shard", F.explode(F.array(*map(F.lit, shards))))
+    asked = queries.select(block, F.size("v").alias("dim"), F.struct("vec_id", "v").alias("q")).groupBy("block", "dim").agg(F.collect_list("q").alias("queries"))  # QUERY_ROWS or so
+    asked = asked.join(F.broadcast(shards), "dim")
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = held.hint("shuffle_hash").join(asked, ["shard", "block"]).repartition(max(1, len(shards) * blocks), "shard", "block")
-    found = met.select("ids", "vectors", "dim", "sizes", "links", "nodes", "longest", "queries").mapInPandas(_search(k, reach), "query_id long, node long, score double")
+    met = held.hint("shuffle_hash").join(asked, ["dim", "shard", "block"]).repartition(n * blocks, "dim", "shard", "block")
+    found = met.select("ids", "vectors", "dim", "sizes", "links", "nodes", "longest", "queries").mapInPandas(_search(k, reach), "query_id long, node long, dim int, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "node")
     return found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
 
@@ -108,6 +107,6 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     nodes = copies.filter("r = 1").select("node", "v")
     queries = rows.filter(is_query).dropDuplicates(["vec_id", "v"])
     found = search(build(nodes), queries, k + 1)
-    every = found.join(copies.select("node", "vec_id"), "node").filter("vec_id <> query_id")
+    every = found.join(copies.select("node", F.size("v").alias("dim"), "vec_id"), ["node", "dim"]).filter("vec_id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return every.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
