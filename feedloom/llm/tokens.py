@@ -16,11 +16,12 @@ import unicodedata
 import numpy as np
 
 END = 2  # appended to each document
-_ODD_KINDS = ("Zs", "Zl", "Zp", "Nl", "No", "Mn", "Mc", "Me")
+_ODD_KINDS = ("Zs", "Zl", "Zp", "Nl", "No", "Mn", "Mc", "Me", "Cn")
 LONG_PIECE = 4096
 CACHE_WORDS = 1_200_000  # entries held by a Python worker before it starts anew
-# White space of other kinds, numbers that look like letters, and combining marks: a text
-# that holds one, or the content of an added token, goes to the library whole.
+# White space of other kinds, numbers that look like letters, combining marks, and what this
+# Python's Unicode does not know (the library's may): a text that holds one, or the content of
+# an added token, goes to the library whole.
 _ODD = frozenset(
     c for c in map(chr, range(sys.maxunicode + 1))
     if c in "\x00\x0b\x0c\r\x1c\x1d\x1e\x1f\x85" or c != " " and unicodedata.category(c) in _ODD_KINDS
