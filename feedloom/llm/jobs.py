@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_copies, neighbours, packing, quality, repeats, secret_scan, sharding, token_files, toxicity
+from . import collocations, merkle, mixing, near_copies, neighbours, packing, quality, repeats, secret_scan, sharding, token_counts, token_files, toxicity, twins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,18 @@ def op3_columnwise_repeats(spark, d):
 @query
 def op4_context_mixed_tokens(spark, d):
     return token_files.round_trip(table(spark, d, "documents"))
+
+
+@query(sql=twins.OP11_SQL)
+def op11_phrase_collocations(spark, d):
+    return collocations.phrases(table(spark, d, "documents"))
+
+
+@query
+def op12_token_counts(spark, d):
+    return token_counts.count_tokens(table(spark, d, "documents"))
+
+
+@query(sql=twins.OP13_SQL)
+def op13_merkle_manifest(spark, d):
+    return merkle.manifest(table(spark, d, "documents"))
