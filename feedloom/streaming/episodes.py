@@ -67,9 +67,10 @@ def official_age(rows: DataFrame, keys: Sequence[str], order: Sequence[str], off
     out = scan(rows.withColumn("_now", F.coalesce(official, F.lit(False))), keys, order,
                keep_pieces=keep_pieces, _said=last_before(F.when(official, F.col("ts_s"))),
                _before=Running("max", seen, False), _after=Running("max", seen, False, True))
-    return out.withColumn("official_age_s", F.col("ts_s") - F.col("_said")).withColumn(
-        "has_official", F.col("_now") | F.col("_before").isNotNull() | F.col("_after").isNotNull()
-    ).drop("_now", "_said", "_before", "_after")
+    out = out.withColumn("official_age_s", F.col("ts_s") - F.col("_said"))
+    if "has_official" not in rows.columns:  # else the feed says so itself
+        out = out.withColumn("has_official", F.col("_now") | F.col("_before").isNotNull() | F.col("_after").isNotNull())
+    return out.drop("_now", "_said", "_before", "_after")
 
 
 def precedence(state: Column, official: Column, has_official: Column) -> Column:

@@ -6,6 +6,8 @@ verdict (``d``), and returns the field's new value; no update sees another's res
 
 from __future__ import annotations
 
+import json
+
 from .rulebook import CITY, CLASSES, FAR, NOWHERE, OBLAST, RING, RUNG, Verdict
 
 UNPLACED_S = 120  # a launch nobody has placed cannot have arrived sooner
@@ -129,3 +131,49 @@ def remember(state: dict, v, d: Verdict) -> dict:
     if episode is None and (v.live or v.state == "alert" or v.nationwide):
         episode = fresh_episode(v.ts_s)
     return after if episode is None else after | {"ep": updated(EPISODE, episode, v, d)}
+
+
+# --- how a state is written ---------------------------------------------------
+
+VERSION = 2
+# what the stream keeps besides the fold
+STREAM = {"official_at": None, "waiting": [], "backlog": [], "folded": None, "member": False, "timer": None, "limits": None}
+
+
+def _ordered(x):
+    """Sets as sorted lists, tuples as lists, so that equal states are equal texts."""
+    if isinstance(x, (set, frozenset)):
+        return sorted(map(_ordered, x))
+    if isinstance(x, (list, tuple)):
+        return [_ordered(y) for y in x]
+    if isinstance(x, dict):
+        return {k: _ordered(x[k]) for k in sorted(x)}
+    return x
+
+
+def dump(held: dict) -> str:
+    """A state as text."""
+    return json.dumps({"v": VERSION, **_ordered(held)}, ensure_ascii=False)
+
+
+def load(text: str | None) -> dict:
+    """A state from text: unknown fields are ignored, missing ones have their first value."""
+    got = json.loads(text) if text else {}
+    known = RECIPIENT_FIRST | {k: v.copy() if isinstance(v, list) else v for k, v in STREAM.items()}
+    held = {k: got.get(k, first) for k, first in known.items()}
+    if got.get("ep") is not None:
+        first = fresh_episode(got["ep"].get("opened", 0))
+        held["ep"] = {k: got["ep"].get(k, x) for k, x in first.items()}
+    return held
+
+
+RECIPIENT_FIRST = {k: first for k, (first, _) in RECIPIENT.items()}
+
+
+def expire(held: dict, now: int) -> None:
+    """Forget the facts of an episode that no rule can ask for at ``now`` or later."""
+    e, limits = held.get("ep"), held["limits"]
+    if e is not None and limits:
+        for name, keep_s in zip(("seen", "lines"), limits[1:]):
+            if any(now - t > keep_s for t in e[name].values()):
+                e[name] = {k: t for k, t in e[name].items() if now - t <= keep_s}
