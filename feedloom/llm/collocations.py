@@ -35,8 +35,9 @@ from ..session import settle
 MIN, TOP = 10, 2000
 HEAD, HEAD_PAIRS = 1 << 18, 1 << 19
 TILE, DENSE = 512, 1 << 14  # ranks a side; pairs of a tile in a task that make it dense
-HELD_WORDS, HELD_PAIRS = 300_000, 1 << 20
-PART = 1 << 22  # bytes of text split at once
+HELD_WORDS, HELD_PAIRS = 200_000, 1 << 18  # of a task before they are counted and let go
+PART = 1 << 20  # bytes of text split at once
+TEXTS, OUT = 512, 1 << 15  # texts read at once, rows of a batch that leaves a task
 SEED = 42
 _HASHED = 1 << 62
 _TO_MARK = bytes.maketrans(b"\t,;:!?\n\x0b\x0c\r", b" .........")
@@ -72,12 +73,15 @@ def _parts(texts: list[str]) -> Iterator[bytes]:
         yield b"".join(held)
 
 
-def _by_lang(batch: pa.RecordBatch) -> dict[str, list[str]]:
-    out = defaultdict(list)
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        if text:
-            out[lang].append(text)
-    return out
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[str]]]:
+    """Texts by language, a few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            part, out = batch.slice(at, TEXTS), defaultdict(list)
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if text:
+                    out[lang].append(text)
+            yield out
 
 
 def _read(docs: DataFrame, text: str) -> DataFrame:
@@ -99,8 +103,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 )
             held.clear()
 
-        for batch in batches:
-            for lang, texts in _by_lang(batch).items():
+        for texts_of in _by_lang(batches):
+            for lang, texts in texts_of.items():
                 for raw in _parts(texts):
                     held[lang].update(_words(raw))
             if sum(map(len, held.values())) >= HELD_WORDS:
@@ -203,13 +207,14 @@ def _cells(docs: DataFrame, width: int, take, count) -> DataFrame:
         def out():
             for lang, parts in held.items():
                 for cols in count(lang, [np.concatenate(c) for c in zip(*parts)]):
-                    rows = [pa.array(np.ascontiguousarray(c, np.int64)) for c in cols]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows[0]), pa.string()), *rows], names=["lang", *names, "a"])
+                    for at in range(0, len(cols[0]), OUT):
+                        rows = [pa.array(np.ascontiguousarray(c[at : at + OUT], np.int64)) for c in cols]
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows[0]), pa.string()), *rows], names=["lang", *names, "a"])
             held.clear()
 
         n = 0
-        for batch in batches:
-            for lang, texts in _by_lang(batch).items():
+        for texts_of in _by_lang(batches):
+            for lang, texts in texts_of.items():
                 for cols in take(lang, texts):
                     held[lang].append(cols)
                     n += len(cols[0])
