@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..session import spread
+from ..session import fresh_path, spread
 from ..sources.logs import latest_state
 from ..streaming import announce as an
 from ..streaming import episodes as ep
 from ..streaming import fold, live, policy
 from ..streaming import state_views as views
 from .common import FEED, ZONE, feed, sql
+from .fold_sql import STAYED, folded
 from .registry import query, table
 
 O = ["ts_s", "message_id"]
@@ -272,17 +273,22 @@ def decisions(spark, d):
     return policy.replay(observe(spread(feed(spark, d)), spark, d))
 
 
-@query("st20_decision_cascade")
+@query("st20_decision_cascade", folded("SELECT recipient, level, reason, count(*) AS n FROM decided GROUP BY ALL"))
 def st20(spark, d):
     return decisions(spark, d).groupBy("recipient", "level", "reason").agg(F.count("*").alias("n"))
 
 
-@query("st22_replay")
+DECIDED = ["recipient", "ts_s", "channel", "message_id", "level", "tone", "reason", "sky", "effective"]
+EVERY_DECISION = folded(f"SELECT {', '.join(DECIDED)} FROM decided")
+
+
+@query("st22_replay", EVERY_DECISION)
 def st22(spark, d):
-    return decisions(spark, d).select("recipient", "ts_s", "channel", "message_id", "level", "tone", "reason", "sky", "effective")
+    return decisions(spark, d).select(*DECIDED)
 
 
-@query("st22_replay_by_night")
+@query("st22_replay_by_night", folded("""
+SELECT night, recipient, count(*) AS rows, count(*) FILTER (WHERE level = 'alert') AS bells FROM decided GROUP BY night, recipient""", ("recipient", "night")))
 def st22b(spark, d):
     f = spread(feed(spark, d))
     night = clock.night_id(clock.from_epoch(F.col("ts_s")), ZONE).cast("string")
@@ -291,7 +297,7 @@ def st22b(spark, d):
     return got.groupBy("night", "recipient").agg(F.count("*").alias("rows"), F.count_if("audible").alias("bells"))
 
 
-@query("st32_sky")
+@query("st32_sky", folded("SELECT recipient, sky, count(*) AS n FROM decided GROUP BY ALL"))
 def st32(spark, d):
     return decisions(spark, d).groupBy("recipient", "sky").agg(F.count("*").alias("n"))
 
@@ -305,12 +311,80 @@ def event_stream(spark, d):
         F.col("user_id").alias("who"), F.get_json_object("props", "$.k").cast("long").alias("n"), "value")
 
 
-@query("st22_stream")
+@query("st22_stream", EVERY_DECISION)
 def st22c(spark, d):
     live.use_rocks(spark)
     out = live.decide_stream(observe(event_stream(spark, d), spark, d), has_official=True)
-    return spark.read.parquet(live.run_once(out, "decisions")).select(
-        "recipient", "ts_s", "channel", "message_id", "level", "tone", "reason", "sky", "effective")
+    return spark.read.parquet(live.run_once(out, "decisions")).select(*DECIDED)
+
+
+# What each rule of the fold makes of its rows; the same rules as in the cascade, read from it.
+RULES_OF = {
+    "st07_partial_clears_decided": ("clear:part", "already-notified:lifted"),
+    "st10_news_decided": ("near:new", "already-notified:near", "already-notified:home", "echo:home"),
+    "st13_rechecks_decided": ("recheck:gone", "recheck:idle", "recheck:back", "already-notified:recheck"),
+    "st14_waves_decided": ("launch:confirmed", "launch:home", "wave:here", "wave:site", "already-notified:wave"),
+    "st17_steps_decided": ("approach:closer", "level:rose"),
+    "st18_destinations_decided": ("launch:destination", "declared:cause"),
+}
+
+
+def _of_rules(name: str, codes: tuple[str, ...]) -> None:
+    own = ", ".join(f"'{c}'" for c in codes)
+
+    @query(name, folded(f"SELECT recipient, message_id, level, tone, reason FROM decided WHERE regexp_replace(reason, ':quiet$', '') IN ({own})"))
+    def run(spark, d):
+        rows = decisions(spark, d).filter(F.regexp_replace("reason", ":quiet$", "").isin(*codes))
+        return rows.select("recipient", "message_id", "level", "tone", "reason")
+
+
+for _name, _codes in RULES_OF.items():
+    _of_rules(_name, _codes)
+
+
+@query("st01_stream_idle_close", folded("""
+SELECT recipient, alive_s + 2700 AS ts_s FROM (
+  SELECT *, lead(ts_s) OVER (PARTITION BY recipient ORDER BY ts_s, channel IN ('signup', 'purchase') AND message_id IN (SELECT message_id FROM obs WHERE official), channel, message_id) AS next_s FROM decided)
+WHERE coalesce(next_s, (SELECT max(ts_s) FROM obs)) - alive_s > 2700"""))
+def st01c(spark, d):
+    """Episodes that close because nothing is heard any more, by timers, in a stream."""
+    live.use_rocks(spark)
+    out = live.decide_stream(observe(event_stream(spark, d), spark, d), has_official=True, say_closed=True)
+    return live.closed_rows(spark.read.parquet(live.run_once(out, "closed")))
+
+
+CUT_S = 1705500000  # in the middle of the feed
+
+
+@query("st25_stream_handover", EVERY_DECISION)
+def st25b(spark, d):
+    """A stream stopped half-way; its states are read from the state store and start another one."""
+    live.use_rocks(spark)
+    obs = observe(event_stream(spark, d), spark, d)
+    progress = fresh_path(spark, "handover-progress")
+    first = live.run_once(live.decide_stream(obs.filter(F.col("ts_s") < CUT_S), True), "before", None, progress)
+    states = live.read_states(spark, progress)
+    rest = live.run_once(live.decide_stream(obs.filter(F.col("ts_s") >= CUT_S), True, states), "after")
+    return spark.read.parquet(first).unionByName(spark.read.parquet(rest)).select(*DECIDED)
+
+
+CHANGES = [("region0", 0, "add"), ("region1", 0, "add"), ("region2", 0, "add"), ("region1", CUT_S, "drop"), ("region2", CUT_S, "keep"),
+           ("region3", CUT_S + 86400, "add"), ("region1", CUT_S + 172800, "add")]
+STAYS = [("region0", 1, 0, "NULL"), ("region1", 1, 0, CUT_S), ("region2", 1, 0, "NULL"), ("region3", 1, CUT_S + 86400, "NULL"), ("region1", 2, CUT_S + 172800, "NULL")]
+STAYS_SQL = STAYED.format(", ".join(f"('{a}', {b}, {c}, CAST({e} AS BIGINT))" for a, b, c, e in STAYS), live.WARM_WINDOW_S)
+
+
+@query("st28_stream_recipients", folded(f"""
+SELECT {', '.join(DECIDED)} FROM decided JOIN stays USING (recipient, stay) WHERE ts_s >= from_s""", ("recipient", "stay"), STAYS_SQL))
+def st28b(spark, d):
+    """A recipient dropped and taken on again, one that is new, one whose settings change; two that never are on the list."""
+    live.use_rocks(spark)
+    path = fresh_path(spark, "recipients")
+    spark.createDataFrame(CHANGES, "recipient STRING, ts_s LONG, what STRING").coalesce(1).write.parquet(path)
+    changes = spark.readStream.schema("recipient STRING, ts_s LONG, what STRING").parquet(path)
+    history = observe(feed(spark, d), spark, d)
+    out = live.decide_stream(observe(event_stream(spark, d), spark, d), True, control=changes, history=history)
+    return spark.read.parquet(live.run_once(out, "listed")).select(*DECIDED)
 
 
 @query("s08_stream_first_write", sql("SELECT DISTINCT who, channel FROM feed", FEED))
@@ -479,7 +553,9 @@ def st31(spark, d):
     return lag_stats(live_rows, ["channel"], "lag_s").select("channel", "n", "median", "worst")
 
 
-@query("st21_state_update")
+@query("st21_state_update", folded("""
+SELECT recipient, z.ts_s AS at_s, z.sky, z.effective, z.reason FROM (
+  SELECT recipient, arg_max({'ts_s': ts_s, 'sky': sky, 'effective': effective, 'reason': reason}, (ts_s, channel, message_id)) AS z FROM decided GROUP BY recipient)"""))
 def st21(spark, d):
     """The last reading of every recipient after the whole feed was folded."""
     rows = decisions(spark, d).select("recipient", F.struct("ts_s", "channel", "message_id").alias("at"), "sky", "effective", "reason")
