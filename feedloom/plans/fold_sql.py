@@ -25,6 +25,7 @@ SELECT 'region' || r AS recipient, ts_s, channel, message_id, said AND n % 2 = 0
   channel = 'click' AND n % 11 = 0 AS recheck, n % 29 = 0 AS reappeared, n % 6 = 0 AS says_new, n % 9 = 0 AS says_launch, n % 31 = 0 AS falling,
   n % 37 = 0 AS impact, message_id % 4 = 0 AS is_reply, n % 43 = 0 AS forecast, (who + n) % 7 = 4 AND n % 3 = 0 AND NOT said AS nationwide,
   lost AND n % 2 = 0 AS launch_site, n % 47 = 0 AS buried, n // 10 AS cnt, CASE WHEN scope <= 1 THEN n_name END AS place,
+  CASE WHEN scope IN (2, 3) THEN n_name END AS far, CASE WHEN n % 43 = 0 THEN (n % 9 + 1) || ' min' END AS eta,
   r % 2 = 0 AND (hour(ts) >= 22 OR hour(ts) < 7) AS quiet,
   CAST(CAST(timezone('{ZONE}', timezone('UTC', ts)) - INTERVAL 15 HOUR AS DATE) AS VARCHAR) AS night
 FROM (SELECT f.*, n_name, r, said, lost, CASE WHEN lost THEN 9 WHEN away = 0 AND k % 3 = 0 THEN 0 WHEN away = 0 THEN 1 WHEN away = 1 THEN 2 WHEN away = 2 THEN 3 ELSE 4 END AS scope

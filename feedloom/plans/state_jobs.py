@@ -9,10 +9,12 @@ from ..session import fresh_path, spread
 from ..sources.logs import latest_state
 from ..streaming import announce as an
 from ..streaming import episodes as ep
-from ..streaming import fold, live, policy
+from ..streaming import fold, herald, live, policy
 from ..streaming import state_views as views
 from .common import FEED, ZONE, feed, sql
 from .fold_sql import STAYED, folded
+from .herald_sql import WORDS as CLASS_WORDS
+from .herald_sql import announced
 from .registry import query, table
 
 O = ["ts_s", "message_id"]
@@ -266,6 +268,7 @@ def observe(f, spark, d):
         (((who + n) % 7 == 4) & flag(3) & ~said).alias("nationwide"), (lost & flag(2)).alias("launch_site"), flag(47).alias("buried"),
         F.floor(n / 10).cast("int").alias("count"),
         F.when(scope <= policy.NEAR, F.array("place")).otherwise(F.array().cast("array<string>")).alias("places"),
+        F.when(scope.isin(policy.CITY, policy.OBLAST), F.array("place")).alias("far_places"), F.when(flag(43), F.concat((n % 9 + 1).cast("string"), F.lit(" min"))).alias("eta"),
         (F.col("r") % 2 == 0).alias("quiet_hours"), F.lit(22).alias("quiet_from"), F.lit(7).alias("quiet_to"), F.hour("ts").alias("hour"))
 
 
@@ -432,6 +435,22 @@ def st23(spark, d):
     return an.announce(rows, K, O, leads, WORDS, 7200).select("message_id", "lead", "text")
 
 
+EVERY_SENTENCE = announced("SELECT recipient, message_id, level, reason, text FROM told")
+
+
+@query("st23_announced", EVERY_SENTENCE)
+def st23b(spark, d):
+    said = herald.announce_decisions(observe(spread(feed(spark, d)), spark, d), CLASS_WORDS)
+    return said.select("recipient", "message_id", "level", "reason", "text")
+
+
+@query("st23_stream_announced", EVERY_SENTENCE)
+def st23c(spark, d):
+    live.use_rocks(spark)
+    out = live.decide_stream(observe(event_stream(spark, d), spark, d), has_official=True, words=CLASS_WORDS)
+    return spark.read.parquet(live.run_once(out, "announced")).select("recipient", "message_id", "level", "reason", "text")
+
+
 RANKS = {"error": 5, "signup": 3, "view": 1}
 
 
