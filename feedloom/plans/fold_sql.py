@@ -45,11 +45,26 @@ parted AS (SELECT *, sum(CAST(turn AS INT)) OVER o AS part FROM turned WINDOW o
 lined AS (SELECT *, row_number() OVER (PARTITION BY {keys}, part ORDER BY ts_s, official, channel, message_id) AS i FROM parted)"""
 
 
-FIRST = """false AS has_ep, CAST(NULL AS BIGINT) AS live_at, CAST(NULL AS VARCHAR) AS e_cls, CAST(NULL AS BIGINT) AS cls_at, 0 AS sent, CAST(NULL AS BIGINT) AS rang,
+FIRST = """false AS has_ep, CAST(NULL AS BIGINT) AS live_at, CAST(NULL AS BIGINT) AS opened, CAST(NULL AS VARCHAR) AS e_cls, CAST(NULL AS BIGINT) AS cls_at, 0 AS sent, CAST(NULL AS BIGINT) AS rang,
   CAST([] AS VARCHAR[]) AS tones, CAST(0 AS BIGINT) AS peak, CAST([] AS VARCHAR[]) AS air, CAST([] AS VARCHAR[]) AS gone, CAST([] AS VARCHAR[]) AS rechecked, CAST(NULL AS BIGINT) AS recheck_at,
   CAST([] AS VARCHAR[]) AS launched, CAST(NULL AS BIGINT) AS launch_at, CAST(NULL AS BIGINT) AS unplaced_at, false AS located, false AS announced, false AS declared, false AS scope_known,
-  false AS explained, 0 AS rung, MAP([]::VARCHAR[], []::BIGINT[]) AS seen, MAP([]::VARCHAR[], []::BIGINT[]) AS lines"""
-EP = [x.rsplit(" AS ", 1)[1].strip() for x in FIRST.replace("\n", " ").split(", ") if " AS " in x and not x.endswith("::VARCHAR[]")]
+  false AS explained, 0 AS rung, MAP([]::VARCHAR[], []::BIGINT[]) AS seen, MAP([]::VARCHAR[], []::BIGINT[]) AS lines,
+  MAP([]::VARCHAR[], []::BIGINT[]) AS recheck_of, MAP([]::VARCHAR[], []::BIGINT[]) AS lifted_of"""
+
+
+def _fields() -> dict[str, str]:
+    """The fields of an episode and what each is before there is one."""
+    out, depth, at = [], 0, 0
+    for i, ch in enumerate(FIRST):
+        depth += (ch in "([") - (ch in ")]")
+        if ch == "," and depth == 0:
+            out.append(FIRST[at:i])
+            at = i + 1
+    out.append(FIRST[at:])
+    return {name.strip(): first.strip() for first, name in (x.rsplit(" AS ", 1) for x in out)}
+
+
+FIRSTS = _fields()
 RUNG = "CASE scope WHEN 3 THEN 1 WHEN 2 THEN 2 WHEN 1 THEN 3 WHEN 0 THEN 4 ELSE 0 END"
 RANK = "CASE {} WHEN 'drone' THEN 1 WHEN 'jet' THEN 2 WHEN 'cruise' THEN 3 WHEN 'carrier' THEN 4 WHEN 'ballistic' THEN 5 ELSE 0 END"
 
@@ -98,6 +113,7 @@ CASCADE = f"""CASE
   WHEN launch_site AND alive0 AND eff IN ('ballistic', 'carrier') THEN 'L wave:site'
   ELSE 'H nothing' END"""
 
+FOR_EVER = 1 << 40
 _LIST = "list_sort(list_distinct(list_filter({}, lambda c: c IS NOT NULL)))"
 
 
@@ -116,6 +132,7 @@ def _put(m: str, key: str, now: str, most: int) -> str:
 
 UPDATES = {
     "live_at": "CASE WHEN alive OR state = 'alert' THEN ts_s ELSE live_at END",
+    "opened": "coalesce(opened, ts_s)",
     "e_cls": "CASE WHEN names THEN eff ELSE e_cls END",
     "cls_at": "CASE WHEN names THEN ts_s ELSE cls_at END",
     "sent": "sent + CAST(level IS NOT NULL AS INT)",
@@ -141,25 +158,15 @@ UPDATES = {
     "explained": "explained OR (level IS NOT NULL AND NOT official AND eff IS NOT NULL AND scope <= 3)",
     "rung": f"CASE WHEN rings AND eff = 'cruise' THEN greatest(rung, {RUNG}) ELSE rung END",
     "seen": f"CASE WHEN alive AND place IS NOT NULL AND code NOT LIKE 'already-notified%' THEN {_put('seen', 'place', 'ts_s', 600)} ELSE seen END",
+    "recheck_of": f"CASE WHEN rechecks THEN {_put('recheck_of', "coalesce(eff, 'all')", 'ts_s', FOR_EVER)} ELSE recheck_of END",
+    "lifted_of": f"CASE WHEN lifted IS NOT NULL THEN {_put('lifted_of', 'lifted', 'ts_s', FOR_EVER)} ELSE lifted_of END",
     "lines": f"CASE WHEN level = 'info' THEN {_put('lines', 'line', 'ts_s', 60)} ELSE lines END",
 }
 
 
 def _blank_unless(cond: str, prefix: str) -> str:
     """The episode's fields as they are where ``cond`` holds, else those of none."""
-    firsts = dict(zip(EP, [x.strip() for x in _firsts()]))
-    return ", ".join(f"CASE WHEN {cond} THEN {prefix}{c} ELSE {firsts[c]} END AS {c}" for c in EP if c != "has_ep")
-
-
-def _firsts() -> list[str]:
-    out, depth, at = [], 0, 0
-    for i, ch in enumerate(FIRST):
-        depth += (ch in "([") - (ch in ")]")
-        if ch == "," and depth == 0:
-            out.append(FIRST[at:i])
-            at = i + 1
-    out.append(FIRST[at:])
-    return [x.rsplit(" AS ", 1)[0].strip() for x in out]
+    return ", ".join(f"CASE WHEN {cond} THEN {prefix}{c} ELSE {first} END AS {c}" for c, first in FIRSTS.items() if c != "has_ep")
 
 
 STAYED = """stays AS (SELECT * FROM (VALUES {}) s(recipient, stay, from_s, until_s)),
@@ -167,7 +174,7 @@ obs AS (SELECT o.*, stay FROM observed o JOIN stays USING (recipient) WHERE ts_s
 
 
 def fold(keys: list[str], among: str = "") -> str:
-    """CTEs up to ``decided``: keys, ts_s, channel, message_id, level, tone, reason, sky, effective, and alive_s, the last sign of life of the open episode.
+    """CTEs up to ``decided``: keys, ts_s, channel, message_id, level, tone, reason, sky, effective, and of the open episode alive_s, its last sign of life, and held, its fields.
 
     ``among`` makes ``obs`` of all that is ``observed``.
     """
@@ -184,7 +191,7 @@ r AS (
   SELECT {ks}, part, i, ts_s, channel, message_id,
     coalesce(tone = 'clear', false) OR (said_clear AND NOT (official AND state = 'alert')),
     CASE WHEN rings AND scope = 0 THEN ts_s ELSE home_said END, CASE WHEN rings AND scope = 0 AND tone = 'ballistic' THEN ts_s ELSE home_rang END,
-    keeps, {', '.join(f"CASE WHEN keeps THEN {UPDATES[c]} ELSE {f} END" for c, f in zip(EP[1:], _firsts()[1:]))},
+    keeps, {', '.join(f"CASE WHEN keeps THEN {UPDATES[c]} ELSE {f} END" for c, f in FIRSTS.items() if c != "has_ep")},
     level, tone, code, eff
   FROM (
     SELECT *, has_ep OR alive OR state = 'alert' OR nationwide AS opens, NOT accepted AND (has_ep OR alive OR state = 'alert' OR nationwide) AS keeps
@@ -224,7 +231,8 @@ r AS (
                           {_blank_unless('s.has_ep AND x.ts_s - s.live_at <= 2700', 's.')}
                         FROM r s JOIN lined x ON {same} AND x.part = s.part AND x.i = s.i + 1)))))))))))),
 decided AS (SELECT {ks}, ts_s, channel, message_id, level, tone, code AS reason, CASE WHEN NOT has_ep THEN 'quiet' WHEN announced THEN 'alert' ELSE 'watching' END AS sky,
-  eff AS effective, CASE WHEN has_ep THEN live_at END AS alive_s FROM r WHERE i > 0)"""
+  eff AS effective, CASE WHEN has_ep THEN live_at END AS alive_s,
+  CASE WHEN has_ep THEN struct_pack(opened, declared, e_cls, air, gone, rechecked, launched, recheck_of, lifted_of) END AS held FROM r WHERE i > 0)"""
 
 
 def folded(body: str, keys: tuple[str, ...] = ("recipient",), among: str = "") -> str:

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clock
-from ..session import fresh_path, spread
+from ..session import fresh_path, settle, spread
 from ..sources.logs import latest_state
 from ..streaming import announce as an
 from ..streaming import episodes as ep
 from ..streaming import fold, herald, live, policy
 from ..streaming import state_views as views
 from .common import FEED, ZONE, feed, sql
-from .fold_sql import STAYED, folded
+from .fold_sql import RANK, STAYED, folded
 from .herald_sql import WORDS as CLASS_WORDS
 from .herald_sql import announced
 from .registry import query, table
@@ -451,6 +454,44 @@ def st23c(spark, d):
     return spark.read.parquet(live.run_once(out, "announced")).select("recipient", "message_id", "level", "reason", "text")
 
 
+def screen_sql(at_s: int) -> str:
+    """The screens at ``at_s`` by the SQL of the fold and the announcer; later rows change nothing before it."""
+    by_rank = lambda xs: f"list_transform(list_sort(list_transform({xs}, lambda c: {{'r': -{RANK.format('c')}, 'c': c}})), lambda p: p.c)"
+    recent = lambda m, ttl: f"list_transform(list_filter(map_entries({m}), lambda q: {at_s} - q.value <= {ttl}), lambda q: q.key)"
+    return announced(f"""
+, log AS (SELECT * FROM told WHERE ts_s <= {at_s}),
+newest AS (SELECT recipient, arg_max({{'e': held, 'alive_s': alive_s}}, (ts_s, official, channel, message_id)) AS z FROM decided JOIN (SELECT recipient, channel, message_id, official FROM obs) USING (recipient, channel, message_id)
+  WHERE ts_s <= {at_s} GROUP BY recipient),
+open AS (SELECT recipient, CASE WHEN {at_s} - z.alive_s <= 2700 THEN z.e END AS e FROM newest),
+ends AS (SELECT recipient, max(ts_s) FILTER (WHERE reason LIKE 'declared:official%') AS began, max(ts_s) FILTER (WHERE tone = 'clear') AS over FROM log GROUP BY recipient),
+x AS (SELECT *, coalesce(e.declared, false) AS on_, coalesce(e.gone, []) AS gone, list_filter(list_distinct(list_concat(coalesce(e.launched, []), [e.e_cls])), lambda c: c IS NOT NULL AND NOT list_contains(coalesce(e.gone, []), c)) AS flying,
+    NOT coalesce(e.declared, false) AND coalesce(over >= began AND {at_s} - over <= 3600, false) AS ended FROM open JOIN ends USING (recipient)),
+lines AS (SELECT l.*, row_number() OVER (PARTITION BY recipient ORDER BY l.ts_s DESC, channel DESC, message_id DESC) AS nth FROM log l JOIN x USING (recipient)
+  WHERE text IS NOT NULL AND (coalesce(l.ts_s >= x.e.opened, false) OR coalesce(NOT on_ AND tone = 'clear' AND l.ts_s = over AND {at_s} - l.ts_s <= 3600, false))),
+three AS (SELECT recipient, list(text ORDER BY ts_s, channel, message_id) AS said FROM lines WHERE nth <= 3 GROUP BY recipient)
+SELECT recipient, CASE WHEN e IS NULL THEN 'quiet' WHEN on_ THEN 'alert' ELSE 'watching' END AS state, e.opened AS since, {by_rank('flying')}[1] AS top, e.e_cls AS threat,
+  {by_rank(f"list_filter(list_intersect(coalesce(e.rechecked, []), coalesce({recent('e.recheck_of', 600)}, [])), lambda c: NOT list_contains(gone, c) AND NOT list_contains(flying, c))")} AS recon,
+  {by_rank(f"list_intersect(gone, coalesce({recent('e.lifted_of', 1800)}, []))")} AS cleared, {by_rank("coalesce(e.launched, [])")} AS launched,
+  CAST(coalesce(list_max(list_transform(e.air, lambda c: {RANK.format('c')})), 0) AS INT) AS peak, CASE WHEN ended THEN over END AS ended_s, CASE WHEN ended THEN over - began END AS lasted_s, coalesce(said, []) AS said
+FROM x LEFT JOIN three USING (recipient)""")
+
+
+# Seconds at which the screens are looked at: a night and a morning of the feed's second week.
+SCREENS = [1705000000, 1705050000]
+
+
+JOINED = {c: f"array_to_string({c}, '; ') AS {c}" for c in ("recon", "cleared", "launched", "said")}
+
+
+@query("st24_screen", " UNION ALL ".join(f"SELECT CAST({x} AS BIGINT) AS at_s, * REPLACE ({', '.join(JOINED.values())}) FROM ({screen_sql(x)})" for x in SCREENS))
+def st24b(spark, d):
+    """What every recipient sees, from the fold's own state and the log of sentences, with the published age limits."""
+    obs = observe(spread(feed(spark, d)), spark, d)
+    said = settle(herald.announce_decisions(obs, CLASS_WORDS))
+    parts = [views.screen(policy.states_at(obs, x), said, x).select(F.lit(x).cast("long").alias("at_s"), "*") for x in SCREENS]
+    return reduce(DataFrame.unionByName, parts).withColumns({c: F.array_join(c, "; ") for c in JOINED})
+
+
 RANKS = {"error": 5, "signup": 3, "view": 1}
 
 

@@ -82,6 +82,8 @@ EPISODE = {
     "cleared": ([], lambda b, v, d: [c for c in _with(b["cleared"], v.cleared) if not (_names(v, d) and c == v.eff)]),
     "rechecked": ([], _rechecked),
     "recheck_at": (None, _recheck_at),
+    "recheck_of": ({}, lambda b, v, d: b["recheck_of"] | {v.eff or "all": v.ts_s} if _rechecks(v, d) else b["recheck_of"]),
+    "lifted_of": ({}, lambda b, v, d: b["lifted_of"] | {v.cleared: v.ts_s} if v.cleared else b["lifted_of"]),
     "launched": ([], _launched),
     "launch_at": (None, lambda b, v, d: v.ts_s if v.says_new else b["launch_at"]),
     "unplaced_at": (None, _unplaced_at),
