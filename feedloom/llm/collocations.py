@@ -1,17 +1,19 @@
 """Phrases of two and three words that stand together more often than their parts suggest.
 
 Words get ids by their rank of frequency in their language.  A pair of words is a cell of a
-matrix that is cut into square tiles, addressed directly by the two ranks: where a task holds
-many pairs of one tile it counts them with a dense bincount, pairs of sparse tiles are counted
-together as sorted coordinates.  Frequent pairs are ranked anew and meet the next word in a
-second matrix, so phrases of three words are pairs of (pair, word).  What leaves a task is one
-row a cell; Spark sums the cells.
+matrix that is addressed directly by the two ranks and cut into tiles; the cuts lie so that
+every band of ranks has about the same number of occurrences.  A task counts tiles of few
+cells densely, with bincount, until it ends; pairs of sparse tiles are counted as sorted
+coordinates whenever enough of them are held.  What leaves it is one packed row a tile: the
+gaps between the cells and the counts.  The rows of a tile meet in one task, which adds them
+up and lets the cells of MIN or more out.  Frequent pairs are ranked anew and meet the next
+word in a second matrix, so phrases of three words are pairs of (pair, word).
 
 A phrase that occurs MIN times is made of words and pairs that do, so rarer words and pairs
 end a run and nothing is lost.  HEAD words and HEAD_PAIRS pairs at most are sent to the tasks.
 Beyond them words are named by a 62-bit hash (words whose hashes clash within a language are
-sent by name), are not tiled but counted as sorted coordinates of all their words, and no run
-ends for a word that was not sent.
+sent by name), are not tiled but counted as sorted coordinates of all their words and summed
+row by row, and no run ends for a word that was not sent.
 
 Defined cases: a null text has no words, a null language is ``und``; a language without
 phrases has no rows; repeated rows count as often as they stand; ties are broken down to the
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +37,9 @@ from ..session import settle
 
 MIN, TOP = 10, 2000
 HEAD, HEAD_PAIRS = 1 << 18, 1 << 19
-TILE, DENSE = 512, 1 << 14  # ranks a side; pairs of a tile in a task that make it dense
-HELD_WORDS, HELD_PAIRS = 200_000, 1 << 18  # of a task before they are counted and let go
+TILE_ROWS = 1 << 22  # occurrences that a tile should hold: it meets in one task
+DENSE, ALL_DENSE = 1 << 20, 1 << 22  # cells of a tile that is counted densely; of all such tiles of a task
+HELD_WORDS, HELD_PAIRS = 200_000, 1 << 20  # of a task before they are counted and let go
 PART = 1 << 20  # bytes of text split at once
 TEXTS, OUT = 512, 1 << 15  # texts read at once, rows of a batch that leaves a task
 SEED = 42
@@ -125,11 +129,13 @@ def _hash_column(word: str):
 class Book:
     """Ids of the words that are sent, by language, and whether those are all frequent ones."""
 
-    def __init__(self, rows: list[tuple[str, str]], whole: bool):
-        self.whole, self.ids = whole, defaultdict(dict)
-        for lang, word in rows:  # by falling frequency
+    def __init__(self, rows: list[tuple[str, str, int]], whole: bool):
+        self.whole, self.ids, mass = whole, defaultdict(dict), defaultdict(list)
+        for lang, word, f in rows:  # by falling frequency
             ids = self.ids[lang]
             ids[word.encode("utf-8", "surrogatepass")] = len(ids)
+            mass[lang].append(f)
+        self.mass = {lang: np.array(f, np.int64) for lang, f in mass.items()}  # occurrences by id
 
     def encode(self, lang: str, texts: list[str], width: int) -> Iterator[np.ndarray]:
         """Ids, -1 where a run ends; each array begins with the last ``width - 1`` ids of the one before."""
@@ -146,26 +152,93 @@ class Book:
             yield made
 
 
-def tile_counts(x: np.ndarray, y: np.ndarray, tile: int = TILE, dense: int = DENSE) -> Iterator[tuple[np.ndarray, ...]]:
-    """(x, y, count) of each distinct pair of ranks, tile by tile where a tile holds ``dense`` pairs."""
-    if not len(x):
-        return
-    side = int(y.max()) // tile + 1
-    of = x // tile * side + y // tile
-    order = np.argsort(of, kind="stable")
-    of, x, y = of[order], x[order], y[order]
-    head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-    size = np.diff(np.r_[head, len(of)])
-    for at, n in zip(head[size >= dense].tolist(), size[size >= dense].tolist()):
-        a, b = int(x[at]) // tile * tile, int(y[at]) // tile * tile
-        cells = np.bincount((x[at : at + n] - a) * tile + (y[at : at + n] - b), minlength=tile * tile)
-        full = np.flatnonzero(cells)
-        yield full // tile + a, full % tile + b, cells[full]
-    few = np.repeat(size < dense, size)
-    if few.any():
-        span = int(y.max()) + 1
-        key, n = np.unique(x[few] * span + y[few], return_counts=True)
-        yield key // span, key % span, n
+class Grid:
+    """A matrix of ranks cut into tiles; bands of ranks hold about the same mass."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, tile_rows: int = TILE_ROWS):
+        """``rows``, ``cols``: occurrences by rank."""
+        bands = max(1, int(np.ceil(np.sqrt(rows.sum() / tile_rows))))
+        self.row, self.col = self._cuts(rows, bands), self._cuts(cols, bands)
+
+    @staticmethod
+    def _cuts(mass: np.ndarray, bands: int) -> np.ndarray:
+        """First ranks of the bands, and one past the last rank."""
+        total = np.cumsum(mass)
+        at = np.searchsorted(total, total[-1] * np.arange(1, bands) / bands) + 1
+        return np.unique(np.r_[0, at, len(mass)])
+
+    def place(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tile, cell in it) of each pair."""
+        bx, by = np.searchsorted(self.row, x, "right") - 1, np.searchsorted(self.col, y, "right") - 1
+        return bx * (len(self.col) - 1) + by, (x - self.row[bx]) * (self.col[by + 1] - self.col[by]) + y - self.col[by]
+
+    def _bands(self, tile: int) -> tuple[int, int]:
+        return divmod(tile, len(self.col) - 1)
+
+    def cells(self, tile: int) -> int:
+        bx, by = self._bands(tile)
+        return int((self.row[bx + 1] - self.row[bx]) * (self.col[by + 1] - self.col[by]))
+
+    def back(self, tile: int, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bx, by = self._bands(tile)
+        wide = int(self.col[by + 1] - self.col[by])
+        return cell // wide + self.row[bx], cell % wide + self.col[by]
+
+
+def pack(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rising cells and their counts as bytes, the bytes of equal weight side by side."""
+    gaps = np.diff(cells, prepend=0)
+    both = np.concatenate([gaps, counts]).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(both.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1).T
+    both = np.ascontiguousarray(both).view("<u8").ravel().astype(np.int64)
+    n = len(both) // 2
+    return np.cumsum(both[:n]), both[n:]
+
+
+def summed(cells: list[np.ndarray], counts: list[np.ndarray], wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rising distinct cells of a tile of ``wide`` cells, and the sums of their counts."""
+    c, n = np.concatenate(cells), np.concatenate(counts)
+    if wide <= DENSE:
+        total = np.bincount(c, n, wide).astype(np.int64)  # exact up to 2 ** 53
+        full = np.flatnonzero(total)
+        return full, total[full]
+    order = np.argsort(c, kind="stable")
+    c, n = c[order], n[order]
+    head = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+    return c[head], np.add.reduceat(n, head)
+
+
+class Tiles:
+    """Counts of a task: dense tiles until it ends, sparse ones as they come; yields (tile, cells, counts)."""
+
+    def __init__(self, grid: Grid):
+        self.grid, self.dense, self.taken = grid, {}, 0
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        tile, cell = self.grid.place(x, y)
+        order = np.lexsort((cell, tile))
+        tile, cell = tile[order], cell[order]
+        head = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+        for at, end in zip(head.tolist(), [*head[1:].tolist(), len(tile)]):
+            t, wide = int(tile[at]), self.grid.cells(int(tile[at]))
+            if t not in self.dense and wide <= DENSE and self.taken + wide <= ALL_DENSE:
+                self.dense[t], self.taken = np.zeros(wide, np.int64), self.taken + wide
+            if t in self.dense:
+                self.dense[t] += np.bincount(cell[at:end], minlength=wide)
+            else:
+                run = cell[at:end]
+                new = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+                yield t, run[new], np.diff(np.r_[new, len(run)])
+
+    def rest(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for t, counts in self.dense.items():
+            full = np.flatnonzero(counts)
+            yield t, full, counts[full]
+        self.dense, self.taken = {}, 0
 
 
 def sorted_counts(*cols: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -183,8 +256,8 @@ def sorted_counts(*cols: np.ndarray) -> tuple[np.ndarray, ...]:
 class Pairs:
     """Frequent pairs of sent words of one language: their rank by the pair, and back."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray):
-        self.first, self.second = first, second  # by falling frequency
+    def __init__(self, first: np.ndarray, second: np.ndarray, mass: np.ndarray):
+        self.first, self.second, self.mass = first, second, mass  # by falling frequency
         key = first * HEAD + second
         self.order = np.argsort(key)
         self.key = key[self.order]
@@ -197,20 +270,52 @@ class Pairs:
         return np.where(known & (self.key[at] == key), self.order[at], -1)
 
 
-def _cells(docs: DataFrame, width: int, take, count) -> DataFrame:
-    """Summed rows (lang, i, j[, k], a): ``take`` makes columns of each run of ids, ``count`` counts them."""
+_LOOSE = -1  # the tile of cells that are rows of their own
+
+
+def _cells(docs: DataFrame, width: int, take, grids: dict[str, Grid], whole: bool, name) -> DataFrame:
+    """(lang, i, j[, k], a) of the cells with MIN or more.
+
+    ``take`` makes of texts (x, y, columns of words): ranks in the language's grid, or -1 and the
+    words themselves; ``name`` gives the words of ranks (x, y).  ``whole``: there is no such row.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(grids)
     names = ["i", "j", "k"][:width]
+    fields = "lang string, tile long, cells binary, " + "".join(f"{c} long, " for c in names) + "a long"
+    kinds = [pa.string(), pa.int64(), pa.binary()] + [pa.int64()] * (width + 1)
+    labels = ["lang", "tile", "cells", *names, "a"]
 
     def run(batches):
+        tiles: dict[str, Tiles] = {}
         held: dict[str, list] = defaultdict(list)
+        out: list[tuple] = []
 
-        def out():
+        def packed(lang, made):
+            out.extend((lang, t, pack(c, n), *[None] * width, None) for t, c, n in made)
+
+        def drain():
             for lang, parts in held.items():
-                for cols in count(lang, [np.concatenate(c) for c in zip(*parts)]):
-                    for at in range(0, len(cols[0]), OUT):
-                        rows = [pa.array(np.ascontiguousarray(c[at : at + OUT], np.int64)) for c in cols]
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows[0]), pa.string()), *rows], names=["lang", *names, "a"])
+                x, y, *words = (np.concatenate(c) for c in zip(*parts))
+                known = x >= 0
+                if known.any():
+                    if lang not in tiles:
+                        tiles[lang] = Tiles(sent.value[lang])
+                    packed(lang, tiles[lang].add(x[known], y[known]))
+                if not known.all():
+                    *cols, n = sorted_counts(*[w[~known] for w in words])
+                    for at in range(0, len(n), OUT):
+                        rows = [pa.array(np.ascontiguousarray(c[at : at + OUT], np.int64)) for c in (*cols, n)]
+                        k = len(rows[0])
+                        head = [pa.array([lang] * k, pa.string()), pa.array(np.full(k, _LOOSE)), pa.nulls(k, pa.binary())]
+                        yield pa.RecordBatch.from_arrays([*head, *rows], names=labels)
             held.clear()
+            yield from let_go()
+
+        def let_go():
+            for at in range(0, len(out), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[at : at + 256]), kinds)], names=labels)
+            out.clear()
 
         n = 0
         for texts_of in _by_lang(batches):
@@ -219,74 +324,105 @@ def _cells(docs: DataFrame, width: int, take, count) -> DataFrame:
                     held[lang].append(cols)
                     n += len(cols[0])
                     if n >= HELD_PAIRS:
-                        yield from out()
+                        yield from drain()
                         n = 0
-        yield from out()
-
-    kinds = "".join(f"{c} long, " for c in names)
-    return docs.mapInArrow(run, f"lang string, {kinds}a long").groupBy("lang", *names).agg(F.sum("a").alias("a"))
+        yield from drain()
+        for lang, t in tiles.items():
+            packed(lang, t.rest())
+        yield from let_go()
+
+    def add_up(batches):
+        key, cells, counts, rows = None, [], [], 0
+
+        def done():
+            grid = sent.value[key[0]]
+            c, n = summed(cells, counts, grid.cells(key[1]))
+            often = n >= MIN
+            words = name(key[0], *grid.back(key[1], c[often]))
+            arrays = [pa.array([key[0]] * int(often.sum()), pa.string()), *[pa.array(np.ascontiguousarray(w, np.int64)) for w in words], pa.array(n[often])]
+            return pa.RecordBatch.from_arrays(arrays, names=["lang", *names, "a"])
+
+        for batch in batches:
+            for lang, tile, raw in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                if (lang, tile) != key:
+                    if key is not None:
+                        yield done()
+                    key, cells, counts, rows = (lang, tile), [], [], 0
+                c, n = unpack(raw)
+                cells.append(c)
+                counts.append(n)
+                rows += len(c)
+                if rows > TILE_ROWS:
+                    c, n = summed(cells, counts, sent.value[lang].cells(tile))
+                    cells, counts, rows = [c], [n], 0
+        if key is not None:
+            yield done()
+
+    made = docs.mapInArrow(run, fields)
+    if not whole:
+        made = settle(made)
+    tiled = made.filter(F.col("tile") != _LOOSE) if not whole else made
+    tiled = tiled.select("lang", "tile", "cells").repartition("lang", "tile").sortWithinPartitions("lang", "tile")
+    often = tiled.mapInArrow(add_up, "lang string, " + "".join(f"{c} long, " for c in names) + "a long")
+    if whole:
+        return often
+    loose = made.filter(F.col("tile") == _LOOSE).groupBy("lang", *names).agg(F.sum("a").alias("a")).filter(F.col("a") >= MIN)
+    return often.unionByName(loose)
 
 
 def pair_counts(docs: DataFrame, book: Book) -> DataFrame:
-    """(lang, i, j, a) of neighbouring words."""
+    """(lang, i, j, a) of neighbouring words that stand together MIN times."""
     sent = docs.sparkSession.sparkContext.broadcast(book)
+    grids = {lang: Grid(mass, mass) for lang, mass in book.mass.items()}
 
     def take(lang, texts):
         for ids in sent.value.encode(lang, texts, 2):
             ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
-            yield ids[:-1][ok], ids[1:][ok]
+            i, j = ids[:-1][ok], ids[1:][ok]
+            size = len(sent.value.mass[lang]) if lang in sent.value.mass else 0
+            yield np.where((i < size) & (j < size), i, -1), j, i, j
 
-    def count(lang, cols):
-        i, j = cols
-        known = (i < HEAD) & (j < HEAD)
-        yield from tile_counts(i[known], j[known])
-        if not known.all():
-            yield sorted_counts(i[~known], j[~known])
-
-    return _cells(docs, 2, take, count)
+    return _cells(docs, 2, take, grids, book.whole, lambda lang, x, y: (x, y))
 
 
 def triple_counts(docs: DataFrame, book: Book, pairs: dict[str, Pairs], whole: bool) -> DataFrame:
-    """(lang, i, j, k, a) of three words in a row; ``whole``: ``pairs`` are all frequent ones."""
+    """(lang, i, j, k, a) of three words in a row that stand MIN times; ``whole``: ``pairs`` are all frequent ones."""
     sc = docs.sparkSession.sparkContext
     sent, ranked = sc.broadcast(book), sc.broadcast(pairs)
+    grids = {lang: Grid(p.mass, book.mass[lang]) for lang, p in pairs.items()}
 
     def take(lang, texts):
         of = ranked.value.get(lang)
         if of is None and whole:
             return
+        size = len(sent.value.mass[lang]) if lang in sent.value.mass else 0
         for ids in sent.value.encode(lang, texts, 3):
             if len(ids) < 3:
                 continue
             ok = (ids[:-2] >= 0) & (ids[1:-1] >= 0) & (ids[2:] >= 0)
             i, j, k = (ids[x : len(ids) - 2 + x][ok] for x in range(3))
             if of is None:
-                yield np.full(len(i), -1), i, j, k
+                yield np.full(len(i), -1), k, i, j, k
                 continue
             r = of.rank(i, j)
             if whole:
                 both = (r >= 0) & (of.rank(j, k) >= 0)
                 r, i, j, k = r[both], i[both], j[both], k[both]
-            yield r, i, j, k
+            yield np.where(k < size, r, -1), k, i, j, k
 
-    def count(lang, cols):
-        r, i, j, k = cols
-        known = (r >= 0) & (k < HEAD)
-        of = ranked.value.get(lang)
-        for x, y, n in tile_counts(r[known], k[known]):
-            yield of.first[x], of.second[x], y, n
-        if not known.all():
-            yield sorted_counts(i[~known], j[~known], k[~known])
+    def name(lang, x, y):
+        of = ranked.value[lang]
+        return of.first[x], of.second[x], y
 
-    return _cells(docs, 3, take, count)
+    return _cells(docs, 3, take, grids, whole, name)
 
 
 def _ranked_pairs(pairs: DataFrame, most: int) -> tuple[dict[str, Pairs], bool]:
     """The most frequent pairs of sent words by language, and whether those are all pairs."""
     first = pairs.filter((F.col("i") < HEAD) & (F.col("j") < HEAD)).orderBy(F.desc("a"), "lang", "i", "j").limit(most)
-    rows = first.select("lang", "i", "j").toArrow()
-    langs, i, j = np.array(rows.column(0).to_pylist(), object), rows.column(1).to_numpy(), rows.column(2).to_numpy()
-    return {x: Pairs(i[langs == x], j[langs == x]) for x in set(langs)}, rows.num_rows == pairs.count()
+    rows = first.select("lang", "i", "j", "a").toArrow()
+    langs, (i, j, a) = np.array(rows.column(0).to_pylist(), object), (rows.column(c).to_numpy() for c in (1, 2, 3))
+    return {x: Pairs(i[langs == x], j[langs == x], a[langs == x]) for x in set(langs)}, rows.num_rows == pairs.count()
 
 
 _BIG = "CAST({} AS DECIMAL(15, 0))"
@@ -303,23 +439,23 @@ def phrases(docs: DataFrame, text: str = "text", head: int = HEAD, head_pairs: i
     rows = _read(docs, text)
     counted = settle(word_counts(rows))
     often = counted.filter(F.col("f") >= MIN)
-    sent = often.orderBy(F.desc("f"), "lang", "word").limit(head).select("lang", "word").toArrow()
+    sent = often.orderBy(F.desc("f"), "lang", "word").limit(head).select("lang", "word", "f").toArrow()
     whole = sent.num_rows < head or sent.num_rows == often.count()
-    names = list(zip(sent.column(0).to_pylist(), sent.column(1).to_pylist()))
+    names = list(zip(*[sent.column(c).to_pylist() for c in range(3)]))
     if not whole:  # words with a hash in common are sent by name
         twice = counted.select("lang", "word", _hash_column("word").alias("h"))
         clash = twice.groupBy("lang", "h").agg(F.collect_set("word").alias("w")).filter("size(w) > 1")
-        known = set(names)
-        names += [x for x in ((r["lang"], w) for r in clash.collect() for w in r["w"]) if x not in known]
+        known = {x[:2] for x in names}
+        names += [(*x, 1) for x in ((r["lang"], w) for r in clash.collect() for w in r["w"]) if x not in known]
     book = Book(names, whole)
     given = [(lang, w.decode("utf-8", "surrogatepass"), i) for lang, ids in book.ids.items() for w, i in ids.items()]
     cols = [pa.array(c, k) for c, k in zip(zip(*given), (pa.string(), pa.string(), pa.int64()))] if given else [pa.array([], k) for k in (pa.string(), pa.string(), pa.int64())]
     ids = spark.createDataFrame(pa.Table.from_arrays(cols, names=["lang", "word", "id"]))
     named = settle(often.join(ids, ["lang", "word"], "left").withColumn("id", F.coalesce("id", _hash_column("word"))))
 
-    pairs = settle(pair_counts(rows, book).filter(F.col("a") >= MIN))
+    pairs = settle(pair_counts(rows, book))
     ranked, all_pairs = _ranked_pairs(pairs, head_pairs)
-    triples = settle(triple_counts(rows, book, ranked, whole and all_pairs).filter(F.col("a") >= MIN))
+    triples = settle(triple_counts(rows, book, ranked, whole and all_pairs))
 
     def word(id_: str, as_: str) -> DataFrame:
         return named.select("lang", F.col("id").alias(id_), F.col("word").alias(f"{as_}_word"), F.col("f").alias(f"{as_}_f"))

@@ -126,7 +126,7 @@ def test_words_whose_hashes_clash(spark, real, monkeypatch):
 def test_parts_of_a_long_text(monkeypatch):
     monkeypatch.setattr(collocations, "PART", 7)
     text = "Ab cd ef gh. ij kl, mmmmmmmmmmmmmmmm n\to p" * 3
-    book = collocations.Book([("en", w) for w in "ab cd ef gh ij kl n o p".split()], True)
+    book = collocations.Book([("en", w, 1) for w in "ab cd ef gh ij kl n o p".split()], True)
     ids = [x for x in book.encode("en", [text, text], 3)]
     whole = [w for t in (text, text) for p in re.split("[.,]", t.lower()) for w in [*p.split(), "."]]
     want = Counter(tuple(whole[i : i + 3]) for i in range(len(whole) - 2) if all(w in book.ids["en"] for w in map(str.encode, whole[i : i + 3])))
@@ -135,14 +135,24 @@ def test_parts_of_a_long_text(monkeypatch):
     assert have == want
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=200), st.integers(1, 30))
-def test_tiles_count_pairs(pairs, dense):
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), min_size=1, max_size=200), st.sampled_from([1, 7, 1000]), st.sampled_from([0, 20, 5000]))
+def test_tiles_count_pairs(pairs, tile_rows, dense):
     x, y = (np.array([p[i] for p in pairs], np.int64) for i in range(2))
-    have = Counter()
-    for a, b, n in collocations.tile_counts(x, y, 8, dense):
-        have.update({(i, j): c for i, j, c in zip(a.tolist(), b.tolist(), n.tolist())})
-    assert have == Counter(pairs)
+    grid = collocations.Grid(np.bincount(x, minlength=41), np.bincount(y, minlength=41), tile_rows)
+    kept, have = (collocations.DENSE, collocations.ALL_DENSE), Counter()
+    try:
+        collocations.DENSE, collocations.ALL_DENSE = dense, 2 * dense
+        tiles = collocations.Tiles(grid)
+        made = [*tiles.add(x, y), *tiles.add(x[:50], y[:50]), *tiles.rest()]
+        for t in {t for t, _, _ in made}:
+            back = [collocations.unpack(collocations.pack(c, n)) for u, c, n in made if u == t]
+            cells, counts = collocations.summed(*map(list, zip(*back)), grid.cells(t))
+            i, j = grid.back(t, cells)
+            have.update(dict(zip(zip(i.tolist(), j.tolist()), counts.tolist())))
+    finally:
+        collocations.DENSE, collocations.ALL_DENSE = kept
+    assert have == Counter(pairs + pairs[:50])
 
 
 @pytest.mark.parametrize("head", [300_000, 40, 0])
