@@ -9,7 +9,9 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# Names that count without a semicolon, the longest first.
+BARE = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+ENTITY = f"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{BARE}))"
 DIV = "(?i)<(/?)div\\b[^>]*>"
 
 
@@ -42,20 +44,42 @@ def html_to_text(c: Column) -> Column:
     return decode_entities(out)
 
 
+def _windows(code: int) -> str:
+    """What the numbers 128 to 159 are taken for."""
+    try:
+        return bytes([code]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(code)
+
+
 def decode_entities(c: Column) -> Column:
-    """Named, decimal and hexadecimal references, each decoded once; unknown names stay."""
-    named = F.from_json(F.lit(json.dumps({f"&{k}": v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
-
-    def decoded(ref: Column) -> Column:
-        body = F.substring(ref, 3, F.length(ref) - 3)
-        hexed = F.lower(F.left(body, F.lit(1))) == "x"
-        digits = F.when(hexed, F.upper(F.substring(body, 2, F.length(body)))).otherwise(F.conv(body, 10, 16))
-        code = F.conv(digits, 16, 10).cast("long")
-        fits = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
-        return F.when(F.substring(ref, 2, 1) == "#", F.when(fits, char).otherwise("\ufffd")).otherwise(F.coalesce(F.element_at(named, ref), ref))
-
-    refs = F.transform(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), decoded)
+    """Named, decimal and hexadecimal references, each decoded once, as browsers do.
+
+    The semicolon may be missing after numbers and after the names that once did without it
+    (also as the beginning of an unknown name); unknown names stay.  Numbers that are no
+    character become U+FFFD, control characters and non-characters nothing.
+    """
+    known = {f"&{k}": v for k, v in html5.items()}
+    named = F.from_json(F.lit(json.dumps(known)), "map<string,string>")
+    windows = F.create_map(*[F.lit(x) for n in range(128, 160) for x in (n, _windows(n))])
+
+    def number(ref: Column) -> Column:
+        hexed = F.lower(F.substring(ref, 3, 1)) == "x"
+        digits = F.regexp_replace(ref, "^&#[xX]?0*|;$", "")
+        short = F.length(digits) <= F.when(hexed, 6).otherwise(7)
+        hexes = F.when(hexed, F.upper(digits)).otherwise(F.conv(digits, 10, 16))
+        code = F.conv(F.when(short & (digits != ""), hexes).otherwise("0"), 16, 10).cast("int")
+        is_char = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        nothing = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+        char = F.decode(F.unhex(F.lpad(hexes, 8, "0")), "UTF-32")
+        return F.when(~is_char, "\ufffd").when(code.between(128, 159), F.element_at(windows, code)).when(nothing, "").otherwise(char)
+
+    def name(ref: Column) -> Column:
+        head = F.regexp_extract(ref, f"^&(?:{BARE})", 0)
+        bare = F.when(head != "", F.concat(F.element_at(named, head), F.substring(ref, F.length(head) + 1, F.length(ref))))
+        return F.coalesce(F.element_at(named, ref), bare, ref)
+
+    refs = F.transform(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)), lambda ref: F.when(ref.startswith("&#"), number(ref)).otherwise(name(ref)))
     gaps = F.split(c, ENTITY, -1)
     text = F.zip_with(gaps, refs, lambda gap, ref: F.concat(gap, F.coalesce(ref, F.lit(""))))
     return F.when(c.contains("&"), F.array_join(text, "")).otherwise(c)
