@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import AT_HOME_KM, bearing, circular_spread, haversine_km
+from ..session import settle
+from .scan import next_after, scan
 
 CELL_DEG = 1.0
 SPREAD_LIMIT_KM = 8.0
@@ -112,3 +114,27 @@ def match_points(place: DataFrame, poi: DataFrame, home: tuple[float, float], ha
         .when(F.col("spread_km") > SPREAD_LIMIT_KM, "flagged").otherwise("centroid").alias("how"),
         F.when(by_hand, F.lit(1)).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n"),
         F.when(by_hand, 0.0).otherwise(F.round("spread_km", 3)).alias("spread_km"))
+
+
+def arcs(rows: DataFrame, key: str, degrees: str) -> DataFrame:
+    """(key, n, spread): the smallest arc that holds all bearings of a key, exactly, in bounded memory.
+
+    A summary has the least and the greatest bearing of each whole degree, at most 360 pairs a
+    key, and merges pair by pair.  Between degrees it knows every gap; a gap inside one is
+    under a degree and can be the widest only where all others are too: there the bearings
+    themselves are put in order, over all tasks.
+    """
+    seen = rows.select(key, F.pmod(F.col(degrees), F.lit(360.0)).alias("_deg")).filter("_deg IS NOT NULL")
+    cells = seen.groupBy(key, F.floor("_deg").alias("_cell")).agg(F.min("_deg").alias("low"), F.max("_deg").alias("high"), F.count("*").alias("c"))
+    per = cells.groupBy(key).agg(F.sum("c").alias("n"), F.array_sort(F.collect_list(F.struct("low", "high"))).alias("ring"))
+    lows = F.transform("ring", lambda x: x["low"])
+    after = F.concat(F.slice(lows, F.lit(2), F.size(lows) - 1), F.array(F.element_at(lows, 1) + F.lit(360.0)))
+    widest = F.array_max(F.zip_with(after, F.transform("ring", lambda x: x["high"]), lambda b, a: b - a))
+    per = settle(per.select(key, "n", widest.alias("widest")))
+    full = per.filter((F.col("widest") < 1) & (F.col("n") > 1))
+    if not full.isEmpty():
+        near = seen.join(full.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_semi").distinct()
+        gaps = scan(near, [key], ["_deg"], _next=next_after(F.col("_deg")))
+        inside = gaps.groupBy(F.col(key).alias("_key")).agg(F.max(F.col("_next") - F.col("_deg")).alias("inside"))
+        per = per.join(inside, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("widest", F.greatest("widest", "inside")).drop("_key", "inside")
+    return per.select(key, "n", F.when(F.col("n") > 1, F.lit(360.0) - F.col("widest")).otherwise(0.0).alias("spread"))

@@ -298,6 +298,20 @@ def ge3(spark, d):
         geo.circular_spread(F.col("degs"))).alias("spread"))
 
 
+@query("ge3_arc_summary", """
+WITH b AS (SELECT CASE WHEN l_suppkey % 3 = 0 THEN NULL WHEN l_partkey % 11 = 0 THEN 'few' ELSE l_returnflag END AS kind, l_orderkey, l_linenumber, l_quantity FROM lineitem),
+d AS (SELECT kind, CASE WHEN kind = 'few' THEN 300 + l_quantity * 1.7e0 ELSE l_orderkey * 47.1234567e0 + l_linenumber * l_quantity END % 360 AS deg FROM b),
+g AS (SELECT *, lead(deg) OVER (PARTITION BY kind ORDER BY deg) - deg AS gap FROM d)
+SELECT kind, count(*) AS n, round(360 - greatest(max(gap), 360 - (max(deg) - min(deg))), 6) AS spread FROM g GROUP BY kind""")
+def ge3b(spark, d):
+    """Bearings as they are, a third of all rows in one group."""
+    kind = F.when(F.col("l_suppkey") % 3 == 0, None).when(F.col("l_partkey") % 11 == 0, "few").otherwise(F.col("l_returnflag"))
+    any_ = F.col("l_orderkey") * F.lit(47.1234567) + F.col("l_linenumber") * F.col("l_quantity")
+    rows = table(spark, d, "lineitem").withColumn("kind", kind)
+    rows = rows.select("kind", (F.when(F.col("kind") == "few", 300 + F.col("l_quantity") * 1.7).otherwise(any_) % 360).alias("deg"))
+    return gj.arcs(rows, "kind", "deg").withColumn("spread", F.round("spread", 6))
+
+
 NAMED = """named AS (SELECT o_orderkey AS id, o_custkey, CASE WHEN o_orderstatus = 'P' THEN ['Supplier#' || lpad(CAST(o_custkey % 8 AS VARCHAR), 9, '0'), 'nowhere']
    ELSE list_distinct(['Supplier#' || lpad(CAST(o_custkey % 10 AS VARCHAR), 9, '0'), 'Supplier#' || lpad(CAST(o_orderkey % 10 AS VARCHAR), 9, '0'), 'Supplier#' || lpad(CAST(o_orderkey % 7 AS VARCHAR), 9, '0')]) END AS names,
    CASE WHEN o_orderpriority = '5-LOW' THEN 0 WHEN o_orderpriority = '1-URGENT' THEN 30 ELSE 90 END AS sector,
