@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..session import fresh_path, settle, spread
+from ..sources import corpus
 from ..sources.logs import latest_state
 from ..streaming import announce as an
 from ..streaming import episodes as ep
@@ -400,6 +401,18 @@ def s08_stream(spark, d):
     return spark.read.parquet(live.run_once(first, "first"))
 
 
+@query("s08_stream_stored", sql("SELECT DISTINCT channel, message_id // 3 AS message_id FROM feed", FEED))
+def s08_stored(spark, d):
+    """Every message comes three times under one id; the store keeps the first, in two runs over the same feed."""
+    live.use_rocks(spark)
+    path = fresh_path(spark, "corpus")
+    rows = event_stream(spark, d).withColumn("message_id", F.floor(F.col("message_id") / 3)).withColumn("at", F.col("ts").cast("timestamp"))
+    for _ in range(2):
+        writer = corpus.stream_first_write(rows.select("channel", "message_id", "at", "n"), path, "at", ["channel", "message_id"], ["at", "n"])
+        writer.option("checkpointLocation", fresh_path(spark, "corpus-progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("message_id LONG, channel STRING").parquet(path).select("channel", "message_id")
+
+
 @query("a11_stream_tumbling", sql("""
 SELECT channel, time_bucket(INTERVAL '1 hour', ts) AS start_ts, count(*) AS n FROM feed GROUP BY 1, 2""", FEED))
 def a11_stream(spark, d):

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.scan import row_index, scan
 from ..session import small_side
@@ -131,3 +133,45 @@ def negative_set(rules: Sequence[tuple[str, DataFrame]]) -> DataFrame:
         tagged = rows.withColumn("rule", F.lit(name))
         out = tagged if out is None else out.unionByName(tagged)
     return out
+
+
+SPAN = 10_000  # ids of a channel in one folder of a stored corpus
+TOUCHED = 100_000  # folders of a batch that are sent to every task
+
+
+def spanned(rows: DataFrame, id_: str = "message_id", span: int = SPAN) -> DataFrame:
+    """``rows`` with ``_span``, the part of a channel's ids that its folder holds."""
+    return rows.withColumn("_span", F.floor(F.col(id_) / span).cast("long"))
+
+
+def store_first_write(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], span: int = SPAN) -> None:
+    """Append the rows of ``batch`` whose key (channel, id) is not stored under ``path`` yet, one per key.
+
+    The store lies in folders by channel and id range; only folders the batch hits are read.
+    A batch that is written again after a failure adds nothing.
+    """
+    spark = batch.sparkSession
+    fresh = spanned(first_per_key(batch, keys, order), keys[-1], span).persist()
+    try:
+        try:
+            stored = spark.read.parquet(path)
+        except AnalysisException:  # nothing is stored yet
+            stored = None
+        if stored is not None:
+            hit = small_side(fresh.select("channel", "_span").distinct(), TOUCHED)
+            near = stored.join(hit, ["channel", "_span"], "left_semi").select(*keys)
+            fresh = fresh.join(near, list(keys), "left_anti")
+        fresh.write.mode("append").partitionBy("channel", "_span").parquet(path)
+    finally:
+        fresh.unpersist()
+
+
+def stream_first_write(stream: DataFrame, path: str, at: str, keys: Sequence[str], order: Sequence[str],
+                       delay: str = "1 hour", span: int = SPAN) -> DataStreamWriter:
+    """A writer that keeps the first row of every key for good, with bounded state.
+
+    The stream itself remembers keys only for ``delay`` behind the newest ``at``; a key that comes
+    again later is found in the store.
+    """
+    once = stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys))
+    return once.writeStream.foreachBatch(lambda batch, _: store_first_write(batch, path, keys, order, span)).outputMode("append")
