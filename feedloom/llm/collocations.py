@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .rows import most
 
 MIN, TOP = 10, 2000
 HEAD, HEAD_PAIRS = 1 << 18, 1 << 19
@@ -417,12 +418,15 @@ def triple_counts(docs: DataFrame, book: Book, pairs: dict[str, Pairs], whole: b
     return _cells(docs, 3, take, grids, whole, name)
 
 
-def _ranked_pairs(pairs: DataFrame, most: int) -> tuple[dict[str, Pairs], bool]:
+def _ranked_pairs(pairs: DataFrame, at_most: int) -> tuple[dict[str, Pairs], bool]:
     """The most frequent pairs of sent words by language, and whether those are all pairs."""
-    first = pairs.filter((F.col("i") < HEAD) & (F.col("j") < HEAD)).orderBy(F.desc("a"), "lang", "i", "j").limit(most)
+    first, whole = most(pairs.filter((F.col("i") < HEAD) & (F.col("j") < HEAD)), "a", at_most)
     rows = first.select("lang", "i", "j", "a").toArrow()
     langs, (i, j, a) = np.array(rows.column(0).to_pylist(), object), (rows.column(c).to_numpy() for c in (1, 2, 3))
-    return {x: Pairs(i[langs == x], j[langs == x], a[langs == x]) for x in set(langs)}, rows.num_rows == pairs.count()
+    order = np.lexsort((j, i, -a))  # by falling frequency
+    langs, i, j, a = langs[order], i[order], j[order], a[order]
+    whole = whole and rows.num_rows == pairs.count()
+    return {x: Pairs(i[langs == x], j[langs == x], a[langs == x]) for x in set(langs)}, whole
 
 
 _BIG = "CAST({} AS DECIMAL(15, 0))"
@@ -439,9 +443,9 @@ def phrases(docs: DataFrame, text: str = "text", head: int = HEAD, head_pairs: i
     rows = _read(docs, text)
     counted = settle(word_counts(rows))
     often = counted.filter(F.col("f") >= MIN)
-    sent = often.orderBy(F.desc("f"), "lang", "word").limit(head).select("lang", "word", "f").toArrow()
-    whole = sent.num_rows < head or sent.num_rows == often.count()
-    names = list(zip(*[sent.column(c).to_pylist() for c in range(3)]))
+    sent, whole = most(often, "f", head)
+    sent = sent.select("lang", "word", "f").toArrow()
+    names = sorted(zip(*[sent.column(c).to_pylist() for c in range(3)]), key=lambda x: (-x[2], x[0], x[1]))
     if not whole:  # words with a hash in common are sent by name
         twice = counted.select("lang", "word", _hash_column("word").alias("h"))
         clash = twice.groupBy("lang", "h").agg(F.collect_set("word").alias("w")).filter("size(w) > 1")

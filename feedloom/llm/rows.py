@@ -51,3 +51,22 @@ def boxed(df: DataFrame, *more) -> DataFrame:
 
 def unboxed(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
+
+
+_STEPS = 16  # buckets of weights for each doubling
+
+
+def most(df: DataFrame, weight: str, at_most: int) -> tuple[DataFrame, bool]:
+    """Rows of the largest positive weights, at most ``at_most``, and whether those are all.
+
+    The cut lies between buckets of weights, which are counted (some hundred rows reach the
+    driver), so nothing is sorted and no task sees more than its own rows.
+    """
+    bucket = F.floor(F.log2(weight) * _STEPS)
+    sizes = sorted(((r["b"], r["count"]) for r in df.groupBy(bucket.alias("b")).count().collect()), reverse=True)
+    taken, low = 0, None
+    for b, n in sizes:
+        if taken + n > at_most:
+            break
+        taken, low = taken + n, b
+    return df.filter(bucket >= low if low is not None else F.lit(False)), taken == sum(n for _, n in sizes)

@@ -3,8 +3,8 @@
 A byte-level tokenizer cuts a text into pre-tokens first and merges inside each, so the number
 of tokens of a text is the sum over its pre-tokens.  One pass counts the distinct pre-tokens of
 the corpus; each goes to the library once, which says how many pieces it makes.  A second pass
-takes every document's pre-token frequencies and joins them with those numbers: the HEAD most
-used pre-tokens are looked up in the task (a table of at most HEAD rows is sent to it), all
+takes every document's pre-token frequencies and joins them with those numbers: the most
+used pre-tokens, HEAD at most, are looked up in the task (their table is sent to it), all
 others leave it as rows (text digest, pre-token, frequency) for a shuffled join and are summed
 per digest.  No ids are made and no text leaves its task.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle
-from .rows import map_texts
+from .rows import map_texts, most
 from .tokens import _ODD
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -165,8 +165,8 @@ def count_tokens(
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens)."""
     rows = docs.select("doc_id", F.col(text).alias("text"))
     counted = settle(counted_pretokens(used_pretokens(rows, tokenizer=tokenizer), tokenizer))
-    first = counted.orderBy(F.desc("uses"), "piece").limit(head).select("piece", "n").toArrow()
-    whole = first.num_rows < head
+    first, whole = most(counted, "uses", head)
+    first = first.select("piece", "n").toArrow()
     made = _summed(rows, dict(zip(first.column(0).to_pylist(), first.column(1).to_pylist())), tokenizer)
     total = F.col("known")
     if not whole:  # rare pre-tokens: equal texts once, by digest
