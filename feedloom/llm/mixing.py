@@ -15,6 +15,8 @@ Defined cases: null lang or source is a leaf of its own; a null or empty text ha
 tokens and is taken with the whole epochs and with a prefix that reaches it; repeated rows
 are separate rows of the prefix; an empty table gives an empty result; a leaf of weight
 zero gets nothing unless all of its siblings weigh zero, when they share alike.
+A very long text is a number of tokens like any other; in ``mix`` further columns come back as they
+are, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ written tables.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; null
 doc_id rows take part and a component's id is its smallest non-null doc_id (null if all
-are null); repeated rows are returned as often as they occur.
+are null); repeated rows are returned as often as they occur; an empty table gives an empty
+result.  Very long texts are hashed in blocks of words; in ``near_duplicates`` further columns are
+not read, in ``keep_one`` they come back as they are, whatever their names.
 
 ``keep_one`` is not bound to the contract above: its groups are the components of texts whose
 sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them, each pair
@@ -29,18 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settle
+from ..session import settle, small_side
 from . import shingle_sets
 from .fingerprints import signed, simhash
 from .hamming import close_pairs
-from .rows import boxed, map_texts, unboxed
+from .rows import boxed, map_texts, most, unboxed
 
 LIMIT = 2
 BIG = 20_000
 CODES_AT_ONCE = 400_000  # codes of whole buckets indexed at once in a task
 LOOK = 4  # one text in so many is looked at to learn which shingles are common
 COMMON_TEXTS, COMMON_MOST = 8, 500_000  # texts of those that lead with a common shingle; longs sent to each task
-PIVOTS, MORE_PIVOTS = 4, 8  # of a crowded shingle in the first round; times as many in each round after
+PIVOTS, MORE_PIVOTS = 64, 8  # of a crowded shingle in the second round; times as many in each round after
+SENT = 1_000_000  # doc_ids that may be sent to every task; more are joined
 
 
 def fingerprints(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -213,12 +216,13 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 _NODE = T.StructType([
     T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("lead", T.ArrayType(T.LongType())),
-    T.StructField("late", T.BooleanType()), T.StructField("last", T.LongType()),
+    T.StructField("bits", T.ArrayType(T.LongType())),
 ])
+_WORDS = shingle_sets.BITS // 64
 
 
 def _nodes(df: DataFrame, keep: list[str], common: np.ndarray, text: str = "text") -> DataFrame:
-    """``keep`` columns, the node of each text, the size of its set and its leading shingles."""
+    """``keep`` columns, the node of each text, the size of its set, its leading shingles and its bitmap."""
     sc = df.sparkSession.sparkContext
     sent = sc.broadcast(common)
 
@@ -226,119 +230,123 @@ def _nodes(df: DataFrame, keep: list[str], common: np.ndarray, text: str = "text
         for t in texts:
             found = shingle_sets.shingle_set(t)
             lead = shingle_sets.leading(found, sent.value)
-            yield shingle_sets.name(found), len(found), lead.view(np.int64), *shingle_sets.end_of(lead, sent.value)
+            yield shingle_sets.name(found), len(found), lead.view(np.int64), shingle_sets.bitmap(found)
 
     return map_texts(df, text, of, _NODE, keep)
 
 
 def _folded(nodes: DataFrame) -> DataFrame:
-    """(shingle, node, n): the leading shingles of each distinct set."""
+    """(shingle, node, n, place): the leading shingles of each distinct set."""
     one = nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("lead").alias("lead"))
-    return one.select(F.explode("lead").alias("shingle"), "node", "n")
+    return one.select(F.posexplode("lead").alias("place", "shingle"), "node", "n").select("shingle", "node", "n", F.col("place").cast("long").alias("place"))
 
 
 def _common(docs: DataFrame) -> np.ndarray:
     """Shingles that many texts lead with, sorted; they only order the others (``shingle_sets``)."""
     some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(LOOK)) == 0)
     count = _folded(_nodes(some, [], np.empty(0, np.uint64))).groupBy("shingle").count().filter(F.col("count") >= COMMON_TEXTS)
-    rows = count.orderBy(F.desc("count"), "shingle").limit(COMMON_MOST).select("shingle").toArrow()
+    rows = most(settle(count), "count", COMMON_MOST)[0].select("shingle").toArrow()
     return np.sort(rows.column(0).to_numpy().view(np.uint64))
 
 
 def _sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, found): the whole sets of the ``wanted`` nodes, from one text of each."""
-    out = T.StructType([T.StructField("node", T.LongType()), T.StructField("found", T.BinaryType())])
+    out = T.StructType([T.StructField("node", T.LongType()), T.StructField("found", T.ArrayType(T.LongType()))])
 
     def of(texts):
         for t in texts:
             found = shingle_sets.shingle_set(t)
-            yield shingle_sets.name(found), found.tobytes()
+            yield shingle_sets.name(found), found.view(np.int64)
 
-    ids = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    ids = prints.select("node", "doc_id").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id"))
+    ids = small_side(ids.select("_id").distinct(), SENT)  # texts stay where they are while those are few
     rows = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    made = map_texts(rows, "text", of, out, [])  # an id may stand for other texts as well
+    made = map_texts(rows, "text", of, out, [], 64)  # an id may stand for other texts as well
     return settle(made.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("found").alias("found")))
 
 
-def _possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs (a, b, c) that can be similar by what is known without their sets.
-
-    Of two sets, let A be the one whose leading shingles end first.  What both share up to
-    there leads both, and is in ``c`` or under a crowded shingle; of the rest A has ``rest``.
-    """
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar, row by row in the JVM."""
     up, down = shingle_sets.SIMILAR
-    a, b = (facts.select([F.col(c).alias(f"{x}_{c}" if c != "node" else x) for c in facts.columns]) for x in "ab")
-    end = [F.struct(f"{x}_late", f"{x}_last") for x in "ab"]
-    rest = F.when(end[0] < end[1], F.col("a_rest")).when(end[1] < end[0], F.col("b_rest")).otherwise(F.least("a_rest", "b_rest"))
-    most = F.col("c") + F.least("a_crowd", "b_crowd") + rest
-    return pairs.join(a, "a").join(b, "b").filter((up + down) * most >= up * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+    a, b = (sets.select(F.col("node").alias(x), F.col("found").alias(f"{x}_set")) for x in "ab")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    made = pairs.join(a, "a").join(b, "b").select("a", "b", both.alias("both"), (F.size("a_set") + F.size("b_set")).alias("all"))
+    return settle(made.filter(down * F.col("both") >= up * (F.col("all") - F.col("both"))).select("a", "b"))
 
 
-def _verify(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar."""
-    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = _sets(docs, prints, wanted)
-    a, b = (sets.select(F.col("node").alias(x), F.col("found").alias(f"{x}_set")) for x in "ab")
-    return settle(pairs.join(a, "a").join(b, "b").select("a", "b", "a_set", "b_set").mapInArrow(shingle_sets.verified, "a long, b long"))
+def _met(rows: DataFrame, facts: DataFrame, roots: DataFrame | None, pivots: int, all_pairs: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a leading shingle, are not of one group yet, and can be similar; how often they met (c)."""
+    if roots is not None:
+        facts = facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        facts = facts.withColumn("root", F.col("node"))
+    words = [F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(_WORDS)]
+    dealt = rows.join(facts, "node").select("shingle", "node", "n", "place", "root", *words)
+    placed = dealt.repartition("shingle").sortWithinPartitions("shingle", "node")
+    met = placed.mapInArrow(shingle_sets.candidates(pivots, all_pairs), "a long, b long")
+    return met.groupBy("a", "b").agg(F.count("*").alias("c"))
 
 
 def similar_groups(docs: DataFrame, prints: DataFrame, all_pairs: int = shingle_sets.ALL_PAIRS) -> DataFrame:
     """(node, root) of every node of ``prints`` that is similar to another one.
 
-    Pairs of texts that share a leading shingle are verified.  A shingle that more than
-    ``all_pairs`` nodes lead with goes through rounds: a few nodes meet all others, then
-    more of them, until all that are left lie in one group.
+    Rounds over the shingles that several nodes lead with.  In the first, one node of each
+    shingle meets the others, and of those a node has met it is compared with the one it met
+    most often, so that a group of copies costs a pair a copy; in the second
+    those that are still apart meet each with each, or, of more than ``all_pairs``, a few
+    with all; and then more and more of those, until they lie in one group or all have met.
     """
-    rows = _folded(prints).withColumn("root", F.col("node"))
-    pivots, edges = PIVOTS, None
+    rows = _folded(prints).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(
+        shingle_sets.shared, "shingle long, node long, n long, place long")
+    rows = settle(rows)
+    facts = prints.select("node", "bits").join(rows.select("node").distinct(), "node", "left_semi")
+    facts = settle(facts.groupBy("node").agg(F.first("bits").alias("bits")))
+    pivots, tried, roots, sets, known, edges = 1, 1, None, None, None, None
     while True:
-        met = settle(
-            rows.repartition("shingle")
-            .sortWithinPartitions("shingle", "node")
-            .select("shingle", "node", "n", "root")
-            .mapInArrow(shingle_sets.candidates(pivots, all_pairs), "a long, b long, shingle long, n long, c long")
-        )
-        left = met.filter("b is null").select("shingle", F.col("a").alias("node"), "n", "c")
-        pairs = met.filter("b is not null").groupBy("a", "b").agg(F.sum("c").alias("c"))
-        if edges is None:
-            first = [F.first(x).alias(x) for x in ("n", "late", "last")]
-            facts = prints.groupBy("node").agg(*first, F.first(F.col("n") - F.size("lead")).alias("rest"))
-            facts = facts.join(left.groupBy("node").agg(F.count("*").alias("crowd")), "node", "left").fillna(0, ["crowd"])
-            facts, known = settle(facts), met.select("a", "b").filter("b is not null").distinct()
-        else:  # crowded shingles only: pairs of the first round are settled, others have no more in common than those
-            pairs = pairs.join(known, ["a", "b"], "left_anti").withColumn("c", F.lit(0))
-        found = _verify(docs, prints, settle(_possible(pairs, facts)))
-        edges = found if edges is None else edges.unionAll(found)
+        first = edges is None
+        pairs = _met(rows, facts, roots, pivots, 1 if first else all_pairs)
+        if first:
+            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
+        else:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        pairs = settle(pairs.select("a", "b"))
+        known = pairs if first else known.unionAll(pairs)
+        wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        new = wanted if first else settle(wanted.join(sets.select("node"), "node", "left_anti"))
+        if first:
+            sets = _sets(docs, prints, new)
+        elif not new.isEmpty():
+            sets = sets.unionAll(_sets(docs, prints, new))
+        found = _verify(pairs, sets)
+        edges = found if first else edges.unionAll(found)
         roots = components(edges)
-        left = left.filter("c = 0").drop("c").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = left.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-        rows = settle(left.join(open_.select("shingle"), "shingle", "left_semi"))
+        at = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = at.groupBy("shingle").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y"))
+        rows = settle(rows.join(open_.filter((F.col("x") != F.col("y")) & (F.col("size") > tried)).select("shingle"), "shingle", "left_semi"))
         if rows.isEmpty():
             return roots
-        pivots *= MORE_PIVOTS
+        pivots = PIVOTS if first else pivots * MORE_PIVOTS
+        tried = max(all_pairs, pivots)
 
 
 def keep_one(docs: DataFrame, all_pairs: int = shingle_sets.ALL_PAIRS) -> DataFrame:
     """One document of each group of similar texts stays: the one with the smallest doc_id.
 
-    Which row stays is settled on narrow rows; texts are read once more and joined by
-    doc_id.  Rows that share the doc_id of the one that stays are told apart by their node;
-    of rows equal in both, one stays.
+    Which row stays is settled on narrow rows; texts are read once more, without those whose
+    doc_id goes.  Rows that share the doc_id of the one that stays are told apart by their
+    node; of rows equal in both, one stays.
     """
     common = _common(docs)
     prints = settle(_nodes(docs, ["doc_id"], common))
     group = similar_groups(docs, prints, all_pairs)
-    first = settle(
-        prints.select("doc_id", "node")
-        .join(group, "node", "left")
-        .groupBy(F.coalesce("root", "node").alias("root"))
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x"))
-        .select(F.col("x.doc_id").alias("_id"), F.col("x.node").alias("_node"))
-    )
+    named = prints.select("doc_id", "node").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    first = settle(named.groupBy("root").agg(F.min(place).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.node").alias("_node")))
     doubled = settle(prints.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")))
     rows = boxed(docs, "doc_id", "text")
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     if doubled.isEmpty():
-        return unboxed(rows.join(first, same, "left_semi"))
-    made = _nodes(rows, ["_row", "doc_id"], common).drop("lead", "late", "last")
+        gone = prints.select("doc_id").join(first, same, "left_anti").select(F.col("doc_id").alias("_id"))
+        return unboxed(rows.join(small_side(gone, SENT), same, "left_anti"))
+    made = _nodes(rows, ["_row", "doc_id"], common).drop("lead", "bits", "n")
     return unboxed(made.join(first, same & (F.col("node") == F.col("_node")), "left_semi").dropDuplicates(["doc_id", "node"]))

@@ -12,6 +12,7 @@ Defined cases: vectors that are null, zero, or hold a null or non-finite compone
 part, nor do rows with a null id; each length has graphs of its own, which only queries of
 that length meet; a query without a valid vector returns nothing; rows that share an id are candidates each;
 equal scores go to the smaller id; an empty table gives an empty result.
+There are no texts; columns besides the id and the vector are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ when a task ends is cut up to fill windows completely; one padded window remains
 
 Defined cases: a null or empty text is one end id; repeated rows are packed each; an empty
 table gives an empty result; null doc_id rows are packed like others.
+Very long texts fill windows of their own; columns besides doc_id and the text are not read, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ if it stays when the longest word is left out.
 
 Defined cases: a null or empty text has zero words and fails the base rules; null lang or
 source forms a group of its own; repeated rows are judged one by one; an empty table gives
-an empty result.
+an empty result.  Very long texts are measured whole, one at a time; columns of any further
+name are kept in ``keep_good`` and not read elsewhere.
 """
 
 from __future__ import annotations

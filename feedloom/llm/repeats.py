@@ -14,7 +14,8 @@ narrow rows.  Contexts are compared by a 64-bit hash under an equal 64-bit ancho
 
 Defined cases: a null text is empty; nothing matches in texts below WIDTH bytes; repeated
 rows are documents of their own and remove each other; null doc_id rows take part; an empty
-table gives an empty result.
+table gives an empty result.  Very long texts are cut into windows in parts of bounded size;
+columns besides doc_id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ are shuffled to meet them.  Row keys hash (doc_id, text), so rows are never merg
 keys mean equal rows, and a collision only adds a candidate.
 
 Defined cases: a null or empty text has no spans; null doc_id and repeated rows each give
-their own row; spans of different kinds may overlap and are all reported.
+their own row; spans of different kinds may overlap and are all reported.  Very long
+texts are searched whole, by the JVM's regular expressions; further columns are not read, and in
+``redact`` come back as they are, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ constant whatever the data, and so does every broadcast.
 
 Defined cases: a null text counts as no bytes (size 1, checksum 0); null doc_id rows are placed by
 their text; repeated rows get slots of their own; an empty table gives an empty result.
+A very long text is a size like any other; further columns are not read, whatever their names.
 The law is ``bytes``: sizes of shards are near equal; ``grown_shard`` is always null.
 """
 

@@ -7,7 +7,8 @@ payload, number of ids and crc32.  A document never crosses a segment, and no bl
 another, so any segment can be read alone and a damaged block is found and named.
 
 Defined cases: a null or empty text is one end id; repeated rows follow each other; null
-doc_id rows come first; an empty table gives an empty file set and result.
+doc_id rows come first; an empty table gives an empty file set and result.  Very long texts
+are encoded whole and span many blocks; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ doc_id are no inputs of a score.
 
 Defined cases: a null or empty text has no words and scores as such; null doc_id is not
 held out (crc32 of nothing known) and is never learnt from; repeated rows are scored each;
-without labels of both classes every score is 0.
+without labels of both classes every score is 0; an empty table gives an empty result.  Very long
+texts are scored whole; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -66,3 +66,30 @@ def test_order_of_common_shingles_changes_nothing(spark, made, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     assert len(near_copies._common(docs)) > 0
     assert {r["doc_id"] for r in keep_one(docs).collect()} == kept_of(made)[0]
+
+
+def test_one_group_of_most_rows(spark):
+    """A group of near copies that holds nine tenths of all rows, over many tasks."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(500)]
+    base = rng.choice(words, 90).tolist()
+    texts = []
+    for i in range(400):
+        copy = list(base) if i % 10 else rng.choice(words, 90).tolist()
+        for at in rng.choice(90, i % 3, replace=False):
+            copy[at] = f"x{i}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    assert {r["doc_id"] for r in keep_one(docs).collect()} == kept_of(texts)[0]
+
+
+def test_rows_whose_shingle_others_have():
+    import pyarrow as pa
+
+    from feedloom.llm.shingle_sets import shared
+
+    for keys in ([1, 1, 2, 3, 3, 3, 4], [1], [1, 1], [], [1, 2, 2, 3], [5] * 6):
+        want = [k for k in keys if keys.count(k) > 1]
+        for cut in range(len(keys) + 1):
+            parts = [pa.record_batch([pa.array(x, pa.int64())], names=["shingle"]) for x in (keys[:cut], keys[cut : cut + 1], keys[cut + 1 :])]
+            assert [k for b in shared(iter(parts)) for k in b.column(0).to_pylist()] == want
