@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import settle
-from .asof import asof, within
-from .scan import last_before, scan
+from .asof import within
+from .scan import last_before, max_so_far, scan
 
 LEAD_WINDOW_S = 300
 DUPLICATE_WINDOW_S = 300
 DUPLICATE_JACCARD = 0.5
 CARRY_TTL_S = 900
 EDGE_TOLERANCE_S = 120
+NEVER_S = 1 << 62  # the end of a span that is still open
 
 
 def with_parent(m: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -196,11 +197,20 @@ def carry_context(m: DataFrame, order: Sequence[str], stated: Column, scope: Col
 
 
 def on_span(events: DataFrame, spans: DataFrame, ident: Sequence[str]) -> DataFrame:
-    """Whether an event lies in [start, end) of a span; an open end never closes."""
-    hit = asof(events, spans, [], F.col("ts_s"), F.col("start_s"), ["end_s"], ident, "_span")
-    inside = F.col("_span").isNotNull() & (
-        F.col("_span.end_s").isNull() | (F.col("ts_s") < F.col("_span.end_s")))
-    return hit.withColumn("inside", inside).drop("_span")
+    """Whether an event lies in [start, end) of any span; an open end never closes.
+
+    Of the spans that start no later, the one that ends last decides: spans may overlap, and
+    several may start in one second.
+    """
+    own = [f"_o{i}" for i in range(len(ident))]
+    mine = events.select(F.col("ts_s").alias("_at"), F.lit(1).alias("_side"), *[F.col(c).alias(o) for c, o in zip(ident, own)],
+                         F.struct(*events.columns).alias("_left"))
+    theirs = spans.filter("start_s IS NOT NULL").select(
+        F.col("start_s").alias("_at"), F.lit(0).alias("_side"), F.coalesce("end_s", F.lit(NEVER_S)).alias("_end"))
+    done = scan(mine.unionByName(theirs, allowMissingColumns=True), [], ["_at", "_side", *own],
+                _until=max_so_far(F.col("_end"), inclusive=False))
+    inside = F.coalesce(F.col("_at") < F.col("_until"), F.lit(False))
+    return done.filter("_left IS NOT NULL").select("_left.*", inside.alias("inside"))
 
 
 def match_edges(ours: DataFrame, edges: DataFrame, tol_s: int = EDGE_TOLERANCE_S) -> DataFrame:

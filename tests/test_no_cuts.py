@@ -99,3 +99,10 @@ def test_both_ways_to_fan_out(spark):
         for most in (en.BROADCAST_RINGS, 0)
     ]
     assert ways[0] == ways[1] and len(ways[0]) == 61 * 6
+
+
+def test_spans_that_start_in_one_second_or_overlap(spark):
+    spans = spark.createDataFrame([(10, 20), (10, 10), (12, 13), (30, 30), (30, None)], "start_s long, end_s long")
+    for rows, want in (([(1, 9), (2, 10), (3, 15), (4, 19), (5, 20), (6, 31)], {2, 3, 4, 6}), ([(1, None)], set())):
+        got = joins.on_span(spark.createDataFrame(rows, "message_id long, ts_s long"), spans, ["message_id"])
+        assert {r["message_id"] for r in got.collect() if r["inside"]} == want
