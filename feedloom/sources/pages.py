@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
@@ -36,12 +36,21 @@ def page_to_messages(pages: DataFrame, marker: str, stamp: str, html: str = "htm
     return rows.filter(F.col("stamp") != "")
 
 
-def html_to_text(c: Column) -> Column:
-    """Line breaks kept, tags stripped, named entities decoded."""
+def html_to_text(c: Column, names: Mapping[str, str] | None = None) -> Column:
+    """Line breaks kept, tags stripped, entities decoded: all, or only those of ``names``."""
     out = F.regexp_replace(c, "(?i)<br\\s*/?>", "\n")
     out = F.regexp_replace(out, "(?i)</(p|div)\\s*>", "\n")
     out = F.regexp_replace(out, "<[^>]+>", "")
-    return decode_entities(out)
+    return decode_entities(out) if names is None else decode_named(out, names)
+
+
+def decode_named(c: Column, names: Mapping[str, str]) -> Column:
+    """The references of ``names`` (``lt``, ``#39``), each with its semicolon and decoded once; all else stays."""
+    chars = F.create_map(*[F.lit(x) for n, char in names.items() for x in (f"&{n};", char)])
+    ref = f"&(?:{'|'.join(names)});"
+    found = F.transform(F.regexp_extract_all(c, F.lit(ref), F.lit(0)), lambda x: F.element_at(chars, x))
+    text = F.zip_with(F.split(c, ref, -1), found, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))))
+    return F.when(c.contains("&"), F.array_join(text, "")).otherwise(c)
 
 
 def _windows(code: int) -> str:

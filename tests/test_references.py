@@ -20,3 +20,18 @@ def test_references(spark):
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", decode_entities(F.col("t")).alias("out")).collect()
     bad = [(r["t"], r["out"], html.unescape(r["t"])) for r in got if r["out"] != html.unescape(r["t"])]
     assert not bad, bad[:10]
+
+
+def test_the_query_knows_what_its_sql_knows(spark, tmp_path):
+    """A reference cut off before its semicolon, or of another name, stays in the query as in its SQL."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    texts = ["and &amp", "a &ampp b&am", "&amp;lt; &lt;b&gt; &quot;&#39;&apos;&nbsp;&copy;&middot;", "&eacute; &#38; &copy 1 &amp;&amp", "none", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(oracle_sql()["s02_html_to_text"]).fetchall()
+    got = [tuple(r) for r in queries()["s02_html_to_text"](spark, str(tmp_path)).select("page_id", "out").collect()]
+    assert sorted(got) == sorted(want)
