@@ -10,10 +10,11 @@ up and lets the cells of MIN or more out.  Frequent pairs are ranked anew and me
 word in a second matrix, so phrases of three words are pairs of (pair, word).
 
 A phrase that occurs MIN times is made of words and pairs that do, so rarer words and pairs
-end a run and nothing is lost.  HEAD words and HEAD_PAIRS pairs at most are sent to the tasks.
-Beyond them words are named by a 62-bit hash (words whose hashes clash within a language are
-sent by name), are not tiled but counted as sorted coordinates of all their words and summed
-row by row, and no run ends for a word that was not sent.
+end a run and nothing is lost.  HEAD words at most are sent to the tasks as they are, TAIL more
+as sorted 62-bit hashes (words whose hashes clash within a language are sent by name), and
+HEAD_PAIRS pairs as sorted numbers; all that was sent is tiled.  Beyond them words are counted as
+sorted coordinates of all their words and summed row by row, and no run ends for a word that
+was not sent.
 
 Defined cases: a null text has no words, a null language is ``und``; a language without
 phrases has no rows; repeated rows count as often as they stand; ties are broken down to the
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -37,7 +39,7 @@ from ..session import settle
 from .rows import most
 
 MIN, TOP = 10, 2000
-HEAD, HEAD_PAIRS = 1 << 18, 1 << 19
+HEAD, TAIL, HEAD_PAIRS = 1 << 18, 1 << 21, 1 << 21
 TILE_ROWS = 1 << 22  # occurrences that a tile should hold: it meets in one task
 DENSE, ALL_DENSE = 1 << 20, 1 << 22  # cells of a tile that is counted densely; of all such tiles of a task
 HELD_WORDS, HELD_PAIRS = 200_000, 1 << 20  # of a task before they are counted and let go
@@ -45,6 +47,7 @@ PART = 1 << 20  # bytes of text split at once
 TEXTS, OUT = 512, 1 << 15  # texts read at once, rows of a batch that leaves a task
 SEED = 42
 _HASHED = 1 << 62
+_ID = 31  # bits of an id of a word that was sent
 _TO_MARK = bytes.maketrans(b"\t,;:!?\n\x0b\x0c\r", b" .........")
 _END = b"."  # no word holds one
 
@@ -128,26 +131,59 @@ def _hash_column(word: str):
 
 
 class Book:
-    """Ids of the words that are sent, by language, and whether those are all frequent ones."""
+    """Ids of the words that are sent, by language, and whether those are all frequent ones.
 
-    def __init__(self, rows: list[tuple[str, str, int]], whole: bool):
+    Words sent by name come first; those sent by hash have the ids after them, in the order of the hashes.
+    """
+
+    def __init__(self, rows: list[tuple[str, str, int]], whole: bool, tail: dict[str, tuple[np.ndarray, np.ndarray]] | None = None):
+        """``tail``: rising hashes and occurrences of the words sent by hash."""
+        tail = tail or {}
         self.whole, self.ids, mass = whole, defaultdict(dict), defaultdict(list)
         for lang, word, f in rows:  # by falling frequency
             ids = self.ids[lang]
             ids[word.encode("utf-8", "surrogatepass")] = len(ids)
             mass[lang].append(f)
-        self.mass = {lang: np.array(f, np.int64) for lang, f in mass.items()}  # occurrences by id
+        self.tail = {lang: h for lang, (h, _) in tail.items()}
+        none = np.empty(0, np.int64)
+        # occurrences by id
+        self.mass = {x: np.concatenate([np.array(mass[x], np.int64), tail.get(x, (none, none))[1]]) for x in {*mass, *tail}}
+        self.size = {lang: len(f) for lang, f in self.mass.items()}
+
+    def __getstate__(self):
+        return self.__dict__ | {"mass": None}  # no task reads it
+
+    def _placed(self, lang: str, x: np.ndarray, other) -> np.ndarray:
+        """Ids of hashes of words, ``other`` where they were not sent."""
+        tail = self.tail.get(lang)
+        if tail is None or not len(tail):
+            return np.broadcast_to(other, len(x))
+        at = np.minimum(np.searchsorted(tail, x), len(tail) - 1)
+        return np.where(tail[at] == x, at + len(self.ids[lang]), other)
+
+    def inner(self, lang: str, x: np.ndarray) -> np.ndarray:
+        """The ids used in a task of words named by id or hash; all of them were sent."""
+        return np.where(x >= _HASHED, self._placed(lang, x, x), x)
+
+    def outer(self, lang: str, x: np.ndarray) -> np.ndarray:
+        """The name of a word outside the tasks: its id if it was sent as it is, else its hash."""
+        tail, n = self.tail.get(lang), len(self.ids[lang])
+        if tail is None or not len(tail):
+            return x
+        return np.where((x >= n) & (x < _HASHED), tail[np.clip(x - n, 0, len(tail) - 1)], x)
 
     def encode(self, lang: str, texts: list[str], width: int) -> Iterator[np.ndarray]:
         """Ids, -1 where a run ends; each array begins with the last ``width - 1`` ids of the one before."""
         get, before = self.ids[lang].get, np.empty(0, np.int64)
         for raw in _parts(texts):
             words = _words(raw)
-            if self.whole:
+            if self.whole and lang not in self.tail:
                 made = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
             else:
                 ids = (-1 if w == _END else x if (x := get(w)) is not None else _hash(w) for w in words)
                 made = np.fromiter(ids, np.int64, len(words))
+                far = np.flatnonzero(made >= _HASHED)
+                made[far] = self._placed(lang, made[far], -1 if self.whole else made[far])
             made = np.concatenate([before, made])
             before = made[len(made) - min(width - 1, len(made)) :]
             yield made
@@ -258,17 +294,22 @@ class Pairs:
     """Frequent pairs of sent words of one language: their rank by the pair, and back."""
 
     def __init__(self, first: np.ndarray, second: np.ndarray, mass: np.ndarray):
-        self.first, self.second, self.mass = first, second, mass  # by falling frequency
-        key = first * HEAD + second
-        self.order = np.argsort(key)
-        self.key = key[self.order]
+        key = first << _ID | second
+        order = np.argsort(key)
+        self.key, self.mass = key[order], mass[order]
+
+    def __getstate__(self):
+        return {"key": self.key, "mass": None}  # no task reads it
 
     def rank(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """-1 where the pair is not held."""
-        known = (i < HEAD) & (j < HEAD)
-        key = np.where(known, i, 0) * HEAD + np.where(known, j, 0)
+        known = (i < _HASHED) & (j < _HASHED)
+        key = np.where(known, i, 0) << _ID | np.where(known, j, 0)
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(known & (self.key[at] == key), self.order[at], -1)
+        return np.where(known & (self.key[at] == key), at, -1)
+
+    def back(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.key[rank] >> _ID, self.key[rank] & ((1 << _ID) - 1)
 
 
 _LOOSE = -1  # the tile of cells that are rows of their own
@@ -380,10 +421,13 @@ def pair_counts(docs: DataFrame, book: Book) -> DataFrame:
         for ids in sent.value.encode(lang, texts, 2):
             ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
             i, j = ids[:-1][ok], ids[1:][ok]
-            size = len(sent.value.mass[lang]) if lang in sent.value.mass else 0
-            yield np.where((i < size) & (j < size), i, -1), j, i, j
+            size = sent.value.size.get(lang, 0)
+            yield np.where((i < size) & (j < size), i, -1), j, *(sent.value.outer(lang, x) for x in (i, j))
 
-    return _cells(docs, 2, take, grids, book.whole, lambda lang, x, y: (x, y))
+    def name(lang, x, y):
+        return sent.value.outer(lang, x), sent.value.outer(lang, y)
+
+    return _cells(docs, 2, take, grids, book.whole, name)
 
 
 def triple_counts(docs: DataFrame, book: Book, pairs: dict[str, Pairs], whole: bool) -> DataFrame:
@@ -396,37 +440,49 @@ def triple_counts(docs: DataFrame, book: Book, pairs: dict[str, Pairs], whole: b
         of = ranked.value.get(lang)
         if of is None and whole:
             return
-        size = len(sent.value.mass[lang]) if lang in sent.value.mass else 0
+        size, outer = sent.value.size.get(lang, 0), sent.value.outer
         for ids in sent.value.encode(lang, texts, 3):
             if len(ids) < 3:
                 continue
             ok = (ids[:-2] >= 0) & (ids[1:-1] >= 0) & (ids[2:] >= 0)
             i, j, k = (ids[x : len(ids) - 2 + x][ok] for x in range(3))
             if of is None:
-                yield np.full(len(i), -1), k, i, j, k
+                yield np.full(len(i), -1), k, *(outer(lang, x) for x in (i, j, k))
                 continue
             r = of.rank(i, j)
             if whole:
                 both = (r >= 0) & (of.rank(j, k) >= 0)
                 r, i, j, k = r[both], i[both], j[both], k[both]
-            yield np.where(k < size, r, -1), k, i, j, k
+            yield np.where(k < size, r, -1), k, *(outer(lang, x) for x in (i, j, k))
 
     def name(lang, x, y):
-        of = ranked.value[lang]
-        return of.first[x], of.second[x], y
+        return tuple(sent.value.outer(lang, z) for z in (*ranked.value[lang].back(x), y))
 
     return _cells(docs, 3, take, grids, whole, name)
 
 
-def _ranked_pairs(pairs: DataFrame, at_most: int) -> tuple[dict[str, Pairs], bool]:
+def _ranked_pairs(pairs: DataFrame, book: Book, at_most: int) -> tuple[dict[str, Pairs], bool]:
     """The most frequent pairs of sent words by language, and whether those are all pairs."""
-    first, whole = most(pairs.filter((F.col("i") < HEAD) & (F.col("j") < HEAD)), "a", at_most)
+    known = pairs if book.whole else pairs.filter((F.col("i") < _HASHED) & (F.col("j") < _HASHED))
+    first, whole = most(known, "a", at_most)
     rows = first.select("lang", "i", "j", "a").toArrow()
-    langs, (i, j, a) = np.array(rows.column(0).to_pylist(), object), (rows.column(c).to_numpy() for c in (1, 2, 3))
-    order = np.lexsort((j, i, -a))  # by falling frequency
-    langs, i, j, a = langs[order], i[order], j[order], a[order]
     whole = whole and rows.num_rows == pairs.count()
-    return {x: Pairs(i[langs == x], j[langs == x], a[langs == x]) for x in set(langs)}, whole
+    made = {}
+    for lang in pc.unique(rows.column(0)).to_pylist():
+        i, j, a = (c.to_numpy() for c in rows.filter(pc.equal(rows.column(0), lang)).columns[1:])
+        made[lang] = Pairs(book.inner(lang, i), book.inner(lang, j), a)
+    return made, whole
+
+
+def _tail(words: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Rising hashes and occurrences of ``words`` (lang, h, f) by language."""
+    rows = words.select("lang", "h", "f").toArrow()
+    made = {}
+    for lang in pc.unique(rows.column(0)).to_pylist():
+        h, f = (c.to_numpy() for c in rows.filter(pc.equal(rows.column(0), lang)).columns[1:])
+        order = np.argsort(h)
+        made[lang] = h[order], f[order]
+    return made
 
 
 _BIG = "CAST({} AS DECIMAL(15, 0))"
@@ -437,7 +493,8 @@ def _score(a: str, left: str, right: str) -> str:
     return f"(CAST(1000000 AS DECIMAL(7, 0)) * ({a} * {a})) div ({left} * {right})"
 
 
-def phrases(docs: DataFrame, text: str = "text", head: int = HEAD, head_pairs: int = HEAD_PAIRS, top: int = TOP) -> DataFrame:
+def phrases(docs: DataFrame, text: str = "text", head: int = HEAD, head_pairs: int = HEAD_PAIRS, top: int = TOP,
+            tail: int = TAIL) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language."""
     spark = docs.sparkSession
     rows = _read(docs, text)
@@ -446,19 +503,26 @@ def phrases(docs: DataFrame, text: str = "text", head: int = HEAD, head_pairs: i
     sent, whole = most(often, "f", head)
     sent = sent.select("lang", "word", "f").toArrow()
     names = sorted(zip(*[sent.column(c).to_pylist() for c in range(3)]), key=lambda x: (-x[2], x[0], x[1]))
-    if not whole:  # words with a hash in common are sent by name
-        twice = counted.select("lang", "word", _hash_column("word").alias("h"))
-        clash = twice.groupBy("lang", "h").agg(F.collect_set("word").alias("w")).filter("size(w) > 1")
+    hashed = {}
+    if not whole:
+        more, whole = most(often, "f", head + tail)
+        least = min((x[2] for x in names), default=None)  # words as frequent as any of those were sent as well
+        more = more if least is None else more.filter(F.col("f") < least)
+        hashed = _tail(more.withColumn("h", _hash_column("word")))
+        # words with a hash in common are sent by name
+        named = counted.select("lang", "word", _hash_column("word").alias("h"))
+        twice = settle(named.groupBy("lang", "h").count().filter("count > 1"))
         known = {x[:2] for x in names}
-        names += [(*x, 1) for x in ((r["lang"], w) for r in clash.collect() for w in r["w"]) if x not in known]
-    book = Book(names, whole)
+        clash = named.join(F.broadcast(twice), ["lang", "h"], "left_semi").collect()
+        names += [(*x, 1) for x in ((r["lang"], r["word"]) for r in clash) if x not in known]
+    book = Book(names, whole, hashed)
     given = [(lang, w.decode("utf-8", "surrogatepass"), i) for lang, ids in book.ids.items() for w, i in ids.items()]
     cols = [pa.array(c, k) for c, k in zip(zip(*given), (pa.string(), pa.string(), pa.int64()))] if given else [pa.array([], k) for k in (pa.string(), pa.string(), pa.int64())]
     ids = spark.createDataFrame(pa.Table.from_arrays(cols, names=["lang", "word", "id"]))
     named = settle(often.join(ids, ["lang", "word"], "left").withColumn("id", F.coalesce("id", _hash_column("word"))))
 
     pairs = settle(pair_counts(rows, book))
-    ranked, all_pairs = _ranked_pairs(pairs, head_pairs)
+    ranked, all_pairs = _ranked_pairs(pairs, book, head_pairs)
     triples = settle(triple_counts(rows, book, ranked, whole and all_pairs))
 
     def word(id_: str, as_: str) -> DataFrame:

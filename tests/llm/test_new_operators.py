@@ -100,6 +100,19 @@ def test_phrases(spark, real, head, head_pairs):
     assert got(collocations.phrases(real, head=head, head_pairs=head_pairs)) == plain_phrases(rows_of(real))
 
 
+@pytest.mark.parametrize("head,tail,head_pairs", [(25, 0, 12), (0, 0, 0), (25, 40, 12), (25, 40, 1 << 19), (25, 1 << 20, 12)])
+def test_phrases_of_words_sent_by_hash(real, head, tail, head_pairs):
+    assert got(collocations.phrases(real, head=head, tail=tail, head_pairs=head_pairs)) == plain_phrases(rows_of(real))
+
+
+def test_no_loose_cells_while_all_frequent_words_are_sent(real, monkeypatch):
+    seen = []
+    cells = collocations._cells
+    monkeypatch.setattr(collocations, "_cells", lambda *a: seen.append(a[4]) or cells(*a))
+    collocations.phrases(real, head=25)
+    assert seen == [True, True]
+
+
 def test_phrases_of_odd_rows(spark, docs, empty):
     many = docs.unionAll(docs).unionAll(docs)
     assert got(collocations.phrases(many)) == plain_phrases(rows_of(many))
