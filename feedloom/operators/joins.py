@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from decimal import Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import settle
+from ..session import settle, width
 from .asof import within
 from .scan import last_before, max_so_far, scan
 
 LEAD_WINDOW_S = 300
 DUPLICATE_WINDOW_S = 300
 DUPLICATE_JACCARD = 0.5
+CROWD = 2048  # wordings of a slot that may meet in one task
+COLUMNS = 2048  # words compared at once there
 CARRY_TTL_S = 900
 EDGE_TOLERANCE_S = 120
 NEVER_S = 1 << 62  # the end of a span that is still open
@@ -84,25 +89,59 @@ class ReplyChains:
             "channel", "root", F.col("depth").alias("step"), "message_id")
 
 
-def near_duplicates(m: DataFrame, window_s: int = DUPLICATE_WINDOW_S,
-                    threshold: float = DUPLICATE_JACCARD, min_len: int = 4) -> DataFrame:
-    """Points of different channels, close in time, whose word sets are alike.
+def _alike_in_turn(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs at ``threshold`` or more from rows (at, slot, wording, hashes of its words) sorted by ``at``.
 
-    A point is (channel, second, wording) with the number of ``copies`` in it, so a
-    wording posted a million times is compared once; ``pairs`` is the number of
-    message pairs a row stands for.  Wordings are matched on their rarest words
-    only: two sets with Jaccard >= t must share one of the first n - ceil(t n) + 1.
+    Rows of slot ``at`` meet each other and those of the next slot.  What two rows have in common
+    is a product of a matrix of rows and words, some words at a time.
     """
+    def met(at, parts):
+        rows = pa.Table.from_batches(parts)
+        slot, wording = rows.column(1).to_numpy(), np.array(rows.column(2).to_pylist(), object)
+        order = np.lexsort((wording, slot))
+        words = rows.column(3).combine_chunks()
+        sizes = pc.list_value_length(words).to_numpy()
+        row = np.repeat(np.argsort(order), sizes)
+        slot, wording, n = slot[order], wording[order], sizes[order].astype(np.int64)
+        _, col, df = np.unique(words.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = (df > 1)[col]
+        row, col = row[shared], np.cumsum(df > 1)[col[shared]] - 1
+        by = np.argsort(col, kind="stable")
+        row, col = row[by], col[by]
+        mine = int((slot == at).sum())
+        both = np.zeros((mine, len(slot)), np.float32)  # exact up to 2 ** 24
+        for first in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+            x, y = np.searchsorted(col, [first, first + COLUMNS])
+            m = np.zeros((len(slot), COLUMNS), np.float32)
+            m[row[x:y], col[x:y] - first] = 1
+            both += m[:mine] @ m.T
+        own = np.arange(mine)
+        both[own, own] = n[:mine]  # a wording next to itself, also where no other row has its words
+        jac = both.astype(np.float64) / (n[:mine, None] + n[None, :] - both)
+        x, y = np.nonzero((jac >= threshold) & (own[:, None] <= np.arange(len(slot))[None, :]))
+        return pa.RecordBatch.from_arrays([
+            pa.array(wording[x], pa.string()), pa.array(wording[y], pa.string()), pa.array(slot[x], pa.int64()),
+            pa.array(slot[y], pa.int64()), pa.array(jac[x, y], pa.float64())], names=["wa", "wb", "sa", "sb", "jaccard"])
+
+    now, held = None, []
+    for batch in batches:
+        ats = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(ats[1:] != ats[:-1]) + 1).tolist(), len(ats)]
+        for x, y in zip(edges, edges[1:]):
+            if y == x:
+                continue
+            if ats[x] != now and held:
+                yield met(now, held)
+                held = []
+            now = ats[x]
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield met(now, held)
+
+
+def _alike_by_rare_words(sets: DataFrame, slots: DataFrame, first: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of which the earlier slot is one of ``first``, found by the rarest words of either."""
     share = F.lit(Decimal(str(threshold)))  # exact, so that no rounding lifts a bound
-    words = F.array_sort(F.array_distinct(F.filter(
-        F.transform(tokens(F.col("text")), F.lower), lambda w: F.length(w) >= min_len)))
-    said = m.select("channel", "message_id", "ts_s", words.alias("words")).filter(F.size("words") > 0)
-    said = said.withColumn("wording", F.md5(F.array_join("words", " "))).withColumn(
-        "slot", F.floor(F.col("ts_s") / window_s))
-    points = settle(said.groupBy("wording", "channel", "ts_s", "slot").agg(
-        F.count("*").alias("copies"), F.min("message_id").alias("first_id"), F.first("words").alias("words")))
-    sets = points.groupBy("wording").agg(F.first("words").alias("words"))
-
     freq = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     ranked = (
         sets.select("wording", F.explode("words").alias("word"))
@@ -116,10 +155,10 @@ def near_duplicates(m: DataFrame, window_s: int = DUPLICATE_WINDOW_S,
         F.explode(F.slice("r", F.lit(1), (n - F.ceil(n * share) + 1).cast("int"))).alias("p"),
     ).select("wording", "n", F.col("p.word").alias("word"))
 
-    slots = points.select("wording", "slot").distinct()
     spots = prefix.join(slots, "wording")
-    a = spots.select("word", F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("at"),
-                     F.col("wording").alias("wa"), F.col("n").alias("na"), F.col("slot").alias("sa"))
+    a = spots.join(first, "slot", "left_semi").select(
+        "word", F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("at"),
+        F.col("wording").alias("wa"), F.col("n").alias("na"), F.col("slot").alias("sa"))
     b = spots.select("word", F.col("slot").alias("at"), F.col("wording").alias("wb"),
                      F.col("n").alias("nb"), F.col("slot").alias("sb"))
     near_size = (F.col("na") * share <= F.col("nb")) & (F.col("nb") * share <= F.col("na"))
@@ -132,7 +171,44 @@ def near_duplicates(m: DataFrame, window_s: int = DUPLICATE_WINDOW_S,
     )
     both = F.size(F.array_intersect("x", "y"))
     jac = both / (F.size("x") + F.size("y") - both)
-    alike = alike.withColumn("jaccard", jac).filter(F.col("jaccard") >= threshold).drop("x", "y")
+    return alike.withColumn("jaccard", jac).filter(F.col("jaccard") >= threshold).drop("x", "y")
+
+
+def near_duplicates(m: DataFrame, window_s: int = DUPLICATE_WINDOW_S,
+                    threshold: float = DUPLICATE_JACCARD, min_len: int = 4, crowd: int = CROWD) -> DataFrame:
+    """Points of different channels, close in time, whose word sets are alike.
+
+    A point is (channel, second, wording) with the number of ``copies`` in it, so a
+    wording posted a million times is compared once; ``pairs`` is the number of
+    message pairs a row stands for.  The wordings of a slot of ``window_s`` and the next
+    meet in one task, words being told apart there by 64-bit hashes; only pairs that are alike
+    leave it.  Where a slot has more than ``crowd`` wordings they are matched on their rarest words
+    instead, over all tasks: two sets with Jaccard >= t must share one of the first n - ceil(t n) + 1.
+    """
+    words = F.array_sort(F.array_distinct(F.filter(
+        F.transform(tokens(F.col("text")), F.lower), lambda w: F.length(w) >= min_len)))
+    said = m.select("channel", "message_id", "ts_s", words.alias("words")).filter(F.size("words") > 0)
+    said = said.withColumn("wording", F.md5(F.array_join("words", " "))).withColumn(
+        "slot", F.floor(F.col("ts_s") / window_s))
+    said = settle(said)
+    points = settle(said.groupBy("wording", "channel", "ts_s", "slot").agg(
+        F.count("*").alias("copies"), F.min("message_id").alias("first_id")))
+    slots = points.select("wording", "slot").distinct()
+
+    full = slots.groupBy("slot").count().filter(F.col("count") > crowd)
+    crowded = settle(full.select(F.explode(F.array(F.col("slot") - 1, F.col("slot"))).alias("slot")).distinct())
+    some = not crowded.isEmpty()
+    # one message of each wording and slot brings the words
+    hashed = said.select("wording", "slot", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    hashed = hashed.groupBy("slot", "wording").agg(F.first("words").alias("words"))
+    dealt = hashed.select(F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("at"), "slot", "wording", "words")
+    if some:
+        dealt = dealt.join(crowded.withColumnRenamed("slot", "at"), "at", "left_anti")
+    placed = dealt.repartition(width(m.sparkSession), "at").sortWithinPartitions("at")
+    alike = placed.mapInArrow(lambda batches: _alike_in_turn(batches, threshold), "wa string, wb string, sa long, sb long, jaccard double")
+    if some:
+        sets = said.groupBy("wording").agg(F.first("words").alias("words"))
+        alike = alike.unionByName(_alike_by_rare_words(sets, slots, crowded, threshold))
 
     def side(tag: str) -> DataFrame:
         return points.select(
