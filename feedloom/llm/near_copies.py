@@ -17,7 +17,8 @@ not read, in ``keep_one`` they come back as they are, whatever their names.
 
 ``keep_one`` is not bound to the contract above: its groups are the components of texts whose
 sets of five-word shingles have a Jaccard similarity of 0.8 or more, all of them, each pair
-verified on the whole sets (``shingle_sets``).  Texts with equal sets are one node, so exact
+verified on the whole sets (``shingle_sets``).  The SimHash links come first, each verified like
+that; pairs beyond its few bits are then found by their leading shingles.  Texts with equal sets are one node, so exact
 copies are compared once; nodes and shingles are told apart by 64-bit hashes.
 """
 
@@ -218,11 +219,12 @@ _NODE = T.StructType([
     T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("lead", T.ArrayType(T.LongType())),
     T.StructField("bits", T.ArrayType(T.LongType())),
 ])
+_CODE = T.StructType([*_NODE.fields, T.StructField("code", T.LongType())])
 _WORDS = shingle_sets.BITS // 64
 
 
-def _nodes(df: DataFrame, keep: list[str], common: np.ndarray, text: str = "text") -> DataFrame:
-    """``keep`` columns, the node of each text, the size of its set, its leading shingles and its bitmap."""
+def _nodes(df: DataFrame, keep: list[str], common: np.ndarray, text: str = "text", coded: bool = False) -> DataFrame:
+    """``keep`` columns, the node of each text, the size of its set, its leading shingles and its bitmap; ``coded``: its SimHash."""
     sc = df.sparkSession.sparkContext
     sent = sc.broadcast(common)
 
@@ -230,9 +232,20 @@ def _nodes(df: DataFrame, keep: list[str], common: np.ndarray, text: str = "text
         for t in texts:
             found = shingle_sets.shingle_set(t)
             lead = shingle_sets.leading(found, sent.value)
-            yield shingle_sets.name(found), len(found), lead.view(np.int64), shingle_sets.bitmap(found)
+            node = shingle_sets.name(found), len(found), lead.view(np.int64), shingle_sets.bitmap(found)
+            yield (*node, signed(simhash(t))) if coded else node
 
-    return map_texts(df, text, of, _NODE, keep)
+    return map_texts(df, text, of, _CODE if coded else _NODE, keep)
+
+
+def _near_codes(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that the SimHash links: spanning links of codes, and a node of each code with its others."""
+    codes = settle(prints.groupBy("code").agg(F.min("node").alias("node")))
+    same = prints.select("code", F.col("node").alias("b")).join(codes.select("code", F.col("node").alias("a")), "code").select("a", "b")
+    a, b = (codes.select(F.col("code").alias(x), F.col("node").alias(f"{x}_node")) for x in "ab")
+    near = links(codes.select("code")).join(a, "a").join(b, "b")
+    near = near.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    return settle(same.unionAll(near).filter("a <> b").distinct())
 
 
 def _folded(nodes: DataFrame) -> DataFrame:
@@ -274,12 +287,9 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return settle(made.filter(down * F.col("both") >= up * (F.col("all") - F.col("both"))).select("a", "b"))
 
 
-def _met(rows: DataFrame, facts: DataFrame, roots: DataFrame | None, pivots: int, all_pairs: int) -> DataFrame:
+def _met(rows: DataFrame, facts: DataFrame, roots: DataFrame, pivots: int, all_pairs: int) -> DataFrame:
     """Pairs (a, b) of nodes that share a leading shingle, are not of one group yet, and can be similar; how often they met (c)."""
-    if roots is not None:
-        facts = facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        facts = facts.withColumn("root", F.col("node"))
+    facts = facts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     words = [F.get("bits", F.lit(i)).alias(f"bits{i}") for i in range(_WORDS)]
     dealt = rows.join(facts, "node").select("shingle", "node", "n", "place", "root", *words)
     placed = dealt.repartition("shingle").sortWithinPartitions("shingle", "node")
@@ -290,7 +300,8 @@ def _met(rows: DataFrame, facts: DataFrame, roots: DataFrame | None, pivots: int
 def similar_groups(docs: DataFrame, prints: DataFrame, all_pairs: int = shingle_sets.ALL_PAIRS) -> DataFrame:
     """(node, root) of every node of ``prints`` that is similar to another one.
 
-    Rounds over the shingles that several nodes lead with.  In the first, one node of each
+    Pairs that the SimHash links are verified first.  Then rounds over the shingles that several
+    nodes lead with.  In the first, one node of each
     shingle meets the others, and of those a node has met it is compared with the one it met
     most often, so that a group of copies costs a pair a copy; in the second
     those that are still apart meet each with each, or, of more than ``all_pairs``, a few
@@ -301,31 +312,29 @@ def similar_groups(docs: DataFrame, prints: DataFrame, all_pairs: int = shingle_
     rows = settle(rows)
     facts = prints.select("node", "bits").join(rows.select("node").distinct(), "node", "left_semi")
     facts = settle(facts.groupBy("node").agg(F.first("bits").alias("bits")))
-    pivots, tried, roots, sets, known, edges = 1, 1, None, None, None, None
+    known = _near_codes(prints)
+    sets = _sets(docs, prints, settle(known.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    edges = _verify(known, sets)
+    roots = components(edges)
+    pivots, tried, first = 1, 1, True
     while True:
-        first = edges is None
-        pairs = _met(rows, facts, roots, pivots, 1 if first else all_pairs)
+        pairs = _met(rows, facts, roots, pivots, 1 if first else all_pairs).join(known, ["a", "b"], "left_anti")
         if first:
             pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-        else:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = settle(pairs.select("a", "b"))
-        known = pairs if first else known.unionAll(pairs)
+        known = known.unionAll(pairs)
         wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        new = wanted if first else settle(wanted.join(sets.select("node"), "node", "left_anti"))
-        if first:
-            sets = _sets(docs, prints, new)
-        elif not new.isEmpty():
+        new = settle(wanted.join(sets.select("node"), "node", "left_anti"))
+        if not new.isEmpty():
             sets = sets.unionAll(_sets(docs, prints, new))
-        found = _verify(pairs, sets)
-        edges = found if first else edges.unionAll(found)
+        edges = edges.unionAll(_verify(pairs, sets))
         roots = components(edges)
         at = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = at.groupBy("shingle").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y"))
         rows = settle(rows.join(open_.filter((F.col("x") != F.col("y")) & (F.col("size") > tried)).select("shingle"), "shingle", "left_semi"))
         if rows.isEmpty():
             return roots
-        pivots = PIVOTS if first else pivots * MORE_PIVOTS
+        pivots, first = PIVOTS if first else pivots * MORE_PIVOTS, False
         tried = max(all_pairs, pivots)
 
 
@@ -337,7 +346,7 @@ def keep_one(docs: DataFrame, all_pairs: int = shingle_sets.ALL_PAIRS) -> DataFr
     node; of rows equal in both, one stays.
     """
     common = _common(docs)
-    prints = settle(_nodes(docs, ["doc_id"], common))
+    prints = settle(_nodes(docs, ["doc_id"], common, coded=True))
     group = similar_groups(docs, prints, all_pairs)
     named = prints.select("doc_id", "node").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")

@@ -93,3 +93,15 @@ def test_rows_whose_shingle_others_have():
         for cut in range(len(keys) + 1):
             parts = [pa.record_batch([pa.array(x, pa.int64())], names=["shingle"]) for x in (keys[:cut], keys[cut : cut + 1], keys[cut + 1 :])]
             assert [k for b in shared(iter(parts)) for k in b.column(0).to_pylist()] == want
+
+
+def test_pairs_come_from_the_simhash_first(spark, made, monkeypatch):
+    """Copies that few bits tell apart are grouped before any shingle is looked at, and none that is less alike."""
+    texts = [*made, made[0] + " more", "  " + made[1].upper()]
+    seen = []
+    near, met = near_copies._near_codes, near_copies._met
+    monkeypatch.setattr(near_copies, "_near_codes", lambda p: seen.append(near(p)) or seen[-1])
+    monkeypatch.setattr(near_copies, "_met", lambda *a: seen.append(a[2].count()) or met(*a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in keep_one(docs).collect()} == kept_of(texts)[0]
+    assert seen[0].count() > 0 and seen[1] > 0
