@@ -39,16 +39,26 @@ def within_radius(recipients: DataFrame, points: DataFrame) -> DataFrame:
         F.col("km") <= F.col("radius_km")).drop("_y", "_x")
 
 
+CIRCLE = ["radius_km", "home_lat", "home_lon"]
+SETTING = ["home", "ring", "ring_drop", *CIRCLE]
+
+
 def ring_names(recipients: DataFrame, points: DataFrame) -> DataFrame:
-    """Home and the hand list, with every name inside the radius, less the dropped ones."""
-    inside = within_radius(
-        recipients.filter("radius_km > 0 AND home_lat IS NOT NULL").select("recipient", "radius_km", "home_lat", "home_lon"), points
-    ).groupBy("recipient").agg(F.collect_set("name").alias("_near"))
+    """Home and the hand list, with every name inside the radius, less the dropped ones.
+
+    A row a recipient; several rows of one add up.  Recipients with equal settings have equal
+    rings: points are measured once a circle and rings are made once a setting.
+    """
+    own = settle(recipients.groupBy("recipient").agg(F.sort_array(F.collect_set(F.struct(*SETTING))).alias("_set")))
+    sets = own.select("_set").distinct().select("_set", F.explode("_set").alias("_s")).select("_set", "_s.*")
+    circles = sets.filter("radius_km > 0 AND home_lat IS NOT NULL").select(*CIRCLE).distinct()
+    near = within_radius(circles, points).groupBy(*CIRCLE).agg(F.collect_set("name").alias("_near"))
     none = F.array().cast("array<string>")
     home = F.when(F.col("home").isNotNull(), F.array("home")).otherwise(none)
     every = F.array_union(F.array_union(home, F.coalesce("ring", none)), F.coalesce("_near", none))
-    return recipients.join(inside, "recipient", "left").select(
-        "recipient", F.array_sort(F.array_except(every, F.coalesce("ring_drop", none))).alias("ring"))
+    each = sets.join(near, CIRCLE, "left").select("_set", F.array_except(every, F.coalesce("ring_drop", none)).alias("ring"))
+    rings = each.groupBy("_set").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ring")))).alias("ring"))
+    return own.join(rings, "_set").select("recipient", "ring")
 
 
 def worth_saying(named: DataFrame, points: DataFrame, key: str) -> DataFrame:

@@ -106,3 +106,13 @@ def test_spans_that_start_in_one_second_or_overlap(spark):
     for rows, want in (([(1, 9), (2, 10), (3, 15), (4, 19), (5, 20), (6, 31)], {2, 3, 4, 6}), ([(1, None)], set())):
         got = joins.on_span(spark.createDataFrame(rows, "message_id long, ts_s long"), spans, ["message_id"])
         assert {r["message_id"] for r in got.collect() if r["inside"]} == want
+
+
+def test_rows_of_one_recipient_add_up_to_one_ring(spark):
+    """Copies of a recipient and of a circle: one row a recipient, and every name of all its rows."""
+    spots = spark.createDataFrame([(f"p{i}", 50.0 + i / 100, 30.0) for i in range(20)], "name string, lat double, lon double")
+    rows = [("a", 2.0, "p0", 50.0, 30.0, ["x"], ["p1"]), ("a", 2.0, "p10", 50.1, 30.0, ["y"], []), ("b", 2.0, "p0", 50.0, 30.0, ["x"], ["p1"]),
+            ("c", 0.0, "p0", 50.0, 30.0, None, None), ("d", 3.0, None, None, None, ["z"], [])]
+    people = spark.createDataFrame(rows, "recipient string, radius_km double, home string, home_lat double, home_lon double, ring array<string>, ring_drop array<string>")
+    got = sorted((r["recipient"], r["ring"]) for r in gj.ring_names(people, spots).collect())
+    assert got == [("a", ["p0", "p10", "p11", "p9", "x", "y"]), ("b", ["p0", "x"]), ("c", ["p0"]), ("d", ["z"])]
