@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..operators import quality as q
-from ..session import spread
+from ..session import width
 from .common import EPOCH0, FEED, ZONE, feed, sql
 from .registry import query, table
 from .relate_jobs import NIGHTLY
@@ -229,7 +229,8 @@ def p24(spark, d):
 
 
 def labelled(spark, d):
-    return spread(table(spark, d, "documents")).join(table(spark, d, "labels"), "doc_id").select(
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return rows.repartition(width(spark), "doc_id").select(
         "doc_id", "text", "n_chars", F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("label"))
 
 
