@@ -10,7 +10,6 @@ goes to the library as one text, whose tokens tell where a word begins or ends.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 
 import numpy as np
@@ -21,11 +20,25 @@ LONG_PIECE = 4096
 CACHE_WORDS = 1_200_000  # entries held by a Python worker before it starts anew
 # White space of other kinds, numbers that look like letters, combining marks, and what this
 # Python's Unicode does not know (the library's may): a text that holds one, or the content of
-# an added token, goes to the library whole.
-_ODD = frozenset(
-    c for c in map(chr, range(sys.maxunicode + 1))
-    if c in "\x00\x0b\x0c\r\x1c\x1d\x1e\x1f\x85" or c != " " and unicodedata.category(c) in _ODD_KINDS
-)
+# an added token, goes to the library whole.  Characters are looked at when they first come; a table
+# of all of them would take 130 MB of every worker.
+class _Odd:
+    def __init__(self):
+        self._plain = {" "}  # characters that have come and are not odd
+
+    def __contains__(self, c: str) -> bool:
+        return c in "\x00\x0b\x0c\r\x1c\x1d\x1e\x1f\x85" or c != " " and unicodedata.category(c) in _ODD_KINDS
+
+    def isdisjoint(self, text: str) -> bool:
+        if self._plain.issuperset(text):
+            return True
+        new = set(text) - self._plain
+        odd = set(filter(self.__contains__, new))
+        self._plain |= new - odd
+        return not odd
+
+
+_ODD = _Odd()
 _PIECES = {  # letters with the blank before them, or what lies between
     True: re.compile(r" ?[^\W\d_]+|(?:(?! ?[^\W\d_])[\s\S])+"),
     False: re.compile(r"[^\W\d_]+|(?:(?![^\W\d_])\S)+"),
