@@ -161,7 +161,8 @@ def store_first_write(batch: DataFrame, path: str, keys: Sequence[str], order: S
             hit = small_side(fresh.select("channel", "_span").distinct(), TOUCHED)
             near = stored.join(hit, ["channel", "_span"], "left_semi").select(*keys)
             fresh = fresh.join(near, list(keys), "left_anti")
-        fresh.write.mode("append").partitionBy("channel", "_span").parquet(path)
+        # A folder's rows are at most ``span`` times what a key has; one task writes them, so that there is a file a folder, not one for each task.
+        fresh.repartition("channel", "_span").write.mode("append").partitionBy("channel", "_span").parquet(path)
     finally:
         fresh.unpersist()
 
