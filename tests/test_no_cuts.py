@@ -27,6 +27,27 @@ def test_stems_of_any_width_and_length(spark):
     assert found(spark, text, p) == [("ab", 6, 7), ("five", 1, 6), ("four", 1, 5), ("kyiv", 0, 1), ("long", 7, 8)]
 
 
+def test_a_stem_of_more_words_than_go_with_a_word(spark):
+    text = "x a b c d e f g a b c d e f go a b c d e f"
+    p = places(spark, seven="a b c d e f g", six="a b c d e f", other="a b c d e x", one="g")
+    assert found(spark, text, p) == [("one", 7, 8), ("one", 14, 15), ("seven", 1, 8), ("seven", 8, 15), ("six", 1, 7), ("six", 8, 14), ("six", 15, 21)]
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "y a b c d e f"), (None, "a b c d e f")]  # copies, one key for two texts, no key
+    got = en.stem_matches(spark.createDataFrame(rows, "id long, text string"), ["id"], "text", p).collect()
+    assert sorted((r["id"] or 0, r["start"]) for r in got) == [(0, 0), (1, 0), (1, 0), (1, 1)]
+
+
+def test_every_beginning_of_an_item_is_a_stem(spark, tmp_path):
+    from feedloom.plans import entity_jobs as ej
+
+    item = " ".join(["abcdefgh"] + ["x"] * 29)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(1, "s", "en", item), (2, "s", "en", "ab " + item)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["name"]: (r["found"], r["starts"], r["words"]) for r in ej.g02_shapes(spark, str(tmp_path)).collect()}
+    assert got["n1_30"] == (2, 1, 60) and got["n1_1"] == (2, 1, 2) and got["s1_2"] == (3, 1, 3) and got["s1_8"] == (2, 1, 2)
+    assert len(got) == 30 + 7
+
+
 def test_a_phrase_at_the_end_of_a_text(spark):
     assert found(spark, "alpha beta", places(spark, three="alpha beta gamma", two="alpha be")) == [("two", 0, 2)]
 
