@@ -45,3 +45,9 @@ def test_rows_are_plain_values():
     out = list(fold.walk(iter([pdf]), ["k"], lambda s, r: rows.append(r) or {"y": len(rows)}, ["k", "n"], lambda r: {}))[0]
     assert repr(rows) == repr(pdf.to_dict("records")) and [type(r["n"]) for r in rows] == [int] * 3
     assert out["y"].tolist() == [1, 2, 3] and out.index.tolist() == [5, 6, 7]
+
+
+def test_a_row_makes_what_its_facts_call_for():
+    """Before, a silent row of no threat made half of all updates."""
+    none = memory._Updates(memory.EPISODE)[0]
+    assert [k for k, _ in none] == ["peak"] and set(memory.WHEN) <= memory.EPISODE.keys() | memory.RECIPIENT.keys()
